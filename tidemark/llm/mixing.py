@@ -167,7 +167,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 #: The same in DuckDB's SQL.
 SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-]+')) END AS size,
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-
+]+')) END AS size,
          md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS ord
   FROM documents),
 s AS (

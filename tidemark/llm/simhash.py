@@ -288,7 +288,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """One row a document: id, fp, component_id (least id reachable, itself included)."""
+    """One row a document: id, fp, root (the least fingerprint of its component), component_id (least id reachable)."""
     prints = materialise(fingerprints(df, id_col, text_col))
     distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     distinct = materialise(distinct)
@@ -296,9 +296,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Least id of every component, for the fingerprints that have links.
     met = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
     of_root = met.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = met.join(of_root, "root").select("fp", "component_id")
-    reach = distinct.join(of_print, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(reach, "fp").select(F.col(f"`{id_col}`"), "fp", "component_id")
+    of_print = met.join(of_root, "root").select("fp", "root", "component_id")
+    reach = distinct.join(of_print, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(reach, "fp").select(F.col(f"`{id_col}`"), "fp", "root", "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """df's rows and columns, one row of each component: the one of least id, then least fingerprint; null ids last.
+
+    Texts are joined by id alone.  Only where an id occurs in several rows are fingerprints taken again, of those rows.
+    """
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")).alias("_key")
+    found = materialise(near_duplicates(df, id_col, text_col, budget).select(F.col(f"`{id_col}`").alias("id"), key, "fp", "root"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "fp")).alias("x")).select("x._key", "x.fp")
+    repeated = found.groupBy("_key").count().filter("count > 1").select("_key")
+    single = materialise(first.join(repeated, "_key", "left_anti"))
+    several = materialise(first.join(repeated, "_key", "left_semi").withColumnRenamed("fp", "_fp"))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.withColumn("_key", key)
+    kept = rows.join(single, "_key", "left_semi").select(*names)
+    if several.isEmpty():
+        return kept
+
+    # The rows of repeated ids with their fingerprints; of equal (id, fingerprint) one row stays.
+    twice = rows.join(several.select("_key").distinct(), "_key", "left_semi")
+    schema = df.schema.add("_key", "string").add("_fp", "long")
+    at = df.columns.index(text_col)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([simhash(shingle_hashes(t)) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], [*batch.schema.names, "_fp"])
+
+    chosen = twice.select(*names, "_key").mapInArrow(marked, schema).join(several, ["_key", "_fp"], "left_semi")
+    return kept.unionAll(chosen.dropDuplicates(["_key", "_fp"]).select(*names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
