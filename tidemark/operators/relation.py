@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError, ExpressionError, RelationTerminated
 from ..plans.compiler import Compiler, Typed, directed, field_value
+from ..plans.explain import pushed_filters
 from ..plans.storage import materialise
 from ..plans.syntax import conjuncts, names, parse
 from ..types import NUM, blank, field_of
@@ -464,8 +465,7 @@ class Relation:
         """Whether a part of the filter reaches a scan."""
         if not self.filter_text:
             return False
-        plan = self.composites()._jdf.queryExecution().toString()
-        return any("PushedFilters: [" in x and "PushedFilters: []" not in x and any(w in x for w in ("EqualTo", "Greater", "Less", "StringStartsWith", "In(", "StringContains", "Not(")) for x in plan.splitlines())
+        return bool(pushed_filters(self.composites()))
 
     # Definitions.
 
