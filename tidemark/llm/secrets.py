@@ -24,12 +24,13 @@ import math
 import random
 import re
 import string
+import zlib
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, prepare, read
+from .common import map_columns, materialise, prepare, read
 
 # The base patterns and the least length of what they find.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -260,27 +261,31 @@ def all_spans(base: list[tuple], added: list[tuple]) -> list[tuple]:
 
 
 def train(df: DataFrame, bound: int = BOUND, text_col: str = "text") -> Model:
-    """Infers the automata; at most bound base values a kind and bound * 5 ordinary tokens come to the driver."""
+    """Infers the automata; at most bound values a kind (and bound ordinary tokens) come to the driver, those of least hash.
+
+    One pass over the texts: every batch keeps its least values of each kind, among which the least of all are.
+    """
     prepare(df.sparkSession)
 
     def make():
         def work(texts):
-            kinds, words, digests = [], [], []
+            found: dict[str, set[tuple[int, str]]] = defaultdict(set)
             for text in texts:
                 base = base_spans(text or "")
-                here = {(kind, text[at:end]) for kind, _, end, at in base}
-                here |= {("ordinary", w) for _, _, w in candidates(text or "", base)}
-                # long words stand for ordinary tokens where tokens with digits are rare; every 64th by hash
-                here |= {("word", w) for w in set((text or "").split()) if len(w) >= 10 and w.isascii() and w.isalnum() and not hash_of(w) & 63}
-                for kind, word in here:
-                    kinds.append(kind)
-                    words.append(word[:200])
-                    digests.append(hash_of(word))
-            return kinds, words, digests
+                for kind, _, end, at in base:
+                    found[kind].add((hash_of(text[at:end]), text[at:end][:200]))
+                found["ordinary"].update((hash_of(w), w[:200]) for _, _, w in candidates(text or "", base))
+                # long words stand for ordinary tokens where tokens with digits are rare; a 64th of them, by checksum
+                found["word"].update((hash_of(w), w) for w in set((text or "").split()) if 10 <= len(w) <= 200 and w.isascii() and w.isalnum() and not zlib.crc32(w.encode()) & 63)
+                for kind, some in found.items():
+                    if len(some) > 8 * bound:
+                        found[kind] = set(sorted(some)[:bound])
+            rows = [(kind, word, digest) for kind, some in found.items() for digest, word in sorted(some)[:bound]]
+            return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [])
 
         return work
 
-    found = map_columns(df, [text_col], "kind string, word string, digest long", make).distinct()
+    found = materialise(map_columns(df, [text_col], "kind string, word string, digest long", make).distinct())
     by: dict[str, list[str]] = defaultdict(list)
     for kind in (*BASE, "ordinary", "word"):
         some = found.filter(F.col("kind") == kind).orderBy("digest", "word").limit(bound)
