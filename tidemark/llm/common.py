@@ -77,6 +77,17 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[
     return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has columns of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bucket3(doc_id: str | Column) -> Column:
     """crc32 of the id's decimal text, modulo 4; rows with remainder 2 are held out. Null for a null id."""
     key = F.col(f"`{doc_id}`") if isinstance(doc_id, str) else doc_id

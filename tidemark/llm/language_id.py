@@ -4,7 +4,7 @@ Every language has a codeword of bits.  For each bit a binary classifier over ha
 -1 (ridge regression on the square roots of the trigrams' shares).  A text's bits are decoded by loss: the distance to
 a codeword is the sum, over its bits, of the logistic loss of the margin, weighted by how well that bit's
 classifier does on that language (leave-one-out, known in closed form for ridge regression).  The nearest codeword
-wins; a text is flagged ambiguous if its own margin to the second is small or its nearest codeword is far.
+wins; a text is flagged ambiguous if the second nearest codeword is not much farther, compared with the training texts.
 
 Up to seven languages get the exhaustive code (all splits of the languages in two); more get that many columns
 drawn by a fixed rule, at least fifteen and ten times the logarithm of their number, all different.
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_columns, read, trainable
 
-#: Trigram hash buckets, training texts a language, ridge penalty, margin below which a text is ambiguous.
-BUCKETS, PER_LANGUAGE, RIDGE, MARGIN = 4096, 400, 0.05, 0.2
+#: Trigram hash buckets, training texts a language, ridge penalty, share of the usual gap to the second codeword below which a text is
+#: ambiguous.
+BUCKETS, PER_LANGUAGE, RIDGE, MARGIN = 4096, 400, 0.05, 0.4
 UNDETERMINED = "und"
 # Bytes that are no part of a letter in UTF-8 become blanks.
 _LETTERS = bytes(i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -78,6 +79,7 @@ class Model:
     weights: np.ndarray
     trust: np.ndarray
     scale: float
+    gap: float = 0.0
 
     @classmethod
     def fit(cls, x: np.ndarray, names: list[str], ridge: float = RIDGE) -> Model:
@@ -101,6 +103,7 @@ class Model:
         left_out = y - dual / np.diag(inverse)[:, None] / root
         right = np.sign(left_out) == y
         trust = np.array([right[index == k].mean(axis=0) for k in range(len(languages))])
+        trust[trust.sum(axis=1) == 0] = 1.0  # a language none of whose bits is learned: all count alike
         trust = trust / trust.sum(axis=1, keepdims=True)
         model = cls(languages, code, weights, trust, 1.0)
         # The scale that makes left-out scores likeliest.
@@ -108,6 +111,7 @@ class Model:
         own = np.arange(len(rows)), index
         tried = [2.0**k for k in range(0, 9)]
         model.scale = max(tried, key=lambda s: float(np.log(np.maximum(_soft(-s * losses)[own], 1e-12)).mean()))
+        model.gap = float(np.median(_gaps(losses)))
         return model
 
     def _losses(self, margins: np.ndarray) -> np.ndarray:
@@ -118,10 +122,15 @@ class Model:
         """Languages, scores and whether they are ambiguous."""
         if len(self.languages) == 1:
             return [self.languages[0]] * len(x), np.ones(len(x)), np.zeros(len(x), bool)
-        score = _soft(-self.scale * self._losses(shares(x) @ self.weights))
-        best = score.argmax(axis=1)
-        ordered = np.sort(score, axis=1)
-        return [self.languages[i] for i in best], ordered[:, -1], ordered[:, -1] - ordered[:, -2] < MARGIN
+        losses = self._losses(shares(x) @ self.weights)
+        score, best = _soft(-self.scale * losses), losses.argmin(axis=1)
+        return [self.languages[i] for i in best], score.max(axis=1), _gaps(losses) < MARGIN * self.gap
+
+
+def _gaps(losses: np.ndarray) -> np.ndarray:
+    """Difference between the second nearest codeword's loss and the nearest one's."""
+    two = np.sort(losses, axis=1)[:, :2]
+    return two[:, 1] - two[:, 0]
 
 
 def _soft(x: np.ndarray) -> np.ndarray:

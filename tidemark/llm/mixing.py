@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, read
+from .common import fresh, materialise, prepare, read
 
 #: Rows of a bucket of a source's shuffled order, about.
 BUCKET_ROWS = 20_000
@@ -138,20 +138,21 @@ def mixed_rows(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col
     number of characters.  Rows of equal id, source and size share what they are given, evenly and rounded down.
     """
     prepare(df.sparkSession)
+    k, taken, size, turn, left = fresh(df, "_key", "_taken", "_size", "_round", "_left")
     key = lambda i, s, n: F.md5(F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("~")), F.coalesce(s, F.lit("~~")), n.cast("string")))
-    plan = mixed.withColumn("_key", key(F.col(f"`{id_col}`"), F.col("source"), F.col("size")))
-    plan = plan.groupBy("_key").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("_taken"), F.first("size").alias("_size")).filter("_taken > 0")
-    rows = df.withColumn("_key", key(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), words(F.col(f"`{text_col}`"))))
-    met = rows.join(plan, "_key").withColumn("_round", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_taken") / F.col("_size")) - 1).cast("int"))))
-    met = met.withColumn("_left", F.least(F.col("_size"), F.col("_taken") - F.col("_round") * F.col("_size"))).select(*(F.col(f"`{c}`") for c in df.columns), "_left", "_size")
+    plan = mixed.withColumn(k, key(F.col(f"`{id_col}`"), F.col("source"), F.col("size")))
+    plan = plan.groupBy(k).agg(F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias(taken), F.first("size").alias(size)).filter(F.col(taken) > 0)
+    rows = df.withColumn(k, key(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), words(F.col(f"`{text_col}`"))))
+    met = rows.join(plan, k).withColumn(turn, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(taken) / F.col(size)) - 1).cast("int"))))
     names = df.columns
+    met = met.withColumn(left, F.least(F.col(size), F.col(taken) - F.col(turn) * F.col(size))).select(*(F.col(f"`{c}`") for c in names), left, size)
 
     def cut(batches):
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            left, size = columns["_left"].to_pylist(), columns["_size"].to_pylist()
-            if left != size:
-                texts = [t if a == b else first_words(t, a) for t, a, b in zip(columns[text_col].to_pylist(), left, size, strict=True)]
+            share, whole = columns[left].to_pylist(), columns[size].to_pylist()
+            if share != whole:
+                texts = [t if a == b else first_words(t, a) for t, a, b in zip(columns[text_col].to_pylist(), share, whole, strict=True)]
                 columns[text_col] = pa.array(texts, columns[text_col].type)
                 if count_col in columns:
                     columns[count_col] = pa.array([len(t) for t in texts], columns[count_col].type)

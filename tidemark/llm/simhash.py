@@ -31,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_columns, materialise, prepare, read
+from .common import fresh, map_columns, materialise, prepare, read
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
 #: A cell with more fingerprints than this is divided by blocks of its remaining bits.
@@ -306,30 +307,31 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     Texts are joined by id alone.  Only where an id occurs in several rows are fingerprints taken again, of those rows.
     """
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")).alias("_key")
+    k, p = fresh(df, "_key", "_fp")
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")).alias(k)
     found = materialise(near_duplicates(df, id_col, text_col, budget).select(F.col(f"`{id_col}`").alias("id"), key, "fp", "root"))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "fp")).alias("x")).select("x._key", "x.fp")
-    repeated = found.groupBy("_key").count().filter("count > 1").select("_key")
-    single = materialise(first.join(repeated, "_key", "left_anti"))
-    several = materialise(first.join(repeated, "_key", "left_semi").withColumnRenamed("fp", "_fp"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", k, "fp")).alias("x")).select(f"x.{k}", F.col("x.fp").alias(p))
+    repeated = found.groupBy(k).count().filter("count > 1").select(k)
+    single = materialise(first.join(repeated, k, "left_anti"))
+    several = materialise(first.join(repeated, k, "left_semi"))
     names = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.withColumn("_key", key)
-    kept = rows.join(single, "_key", "left_semi").select(*names)
+    rows = df.withColumn(k, key)
+    kept = rows.join(single, k, "left_semi").select(*names)
     if several.isEmpty():
         return kept
 
     # The rows of repeated ids with their fingerprints; of equal (id, fingerprint) one row stays.
-    twice = rows.join(several.select("_key").distinct(), "_key", "left_semi")
-    schema = df.schema.add("_key", "string").add("_fp", "long")
+    twice = rows.join(several.select(k).distinct(), k, "left_semi")
+    schema = T.StructType([*df.schema.fields, T.StructField(k, T.StringType()), T.StructField(p, T.LongType())])
     at = df.columns.index(text_col)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([simhash(shingle_hashes(t)) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], [*batch.schema.names, p])
 
-    chosen = twice.select(*names, "_key").mapInArrow(marked, schema).join(several, ["_key", "_fp"], "left_semi")
-    return kept.unionAll(chosen.dropDuplicates(["_key", "_fp"]).select(*names))
+    chosen = twice.select(*names, k).mapInArrow(marked, schema).join(several, [k, p], "left_semi")
+    return kept.unionAll(chosen.dropDuplicates([k, p]).select(*names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
