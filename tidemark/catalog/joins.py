@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.relation import Relation
-from ..operators.table import RECNO, Tag
+from ..operators.table import Tag
 from .registry import query, table
 
 
@@ -311,7 +310,4 @@ def rel_optimizeable(spark, sf_dir):
 def rel_readbuf(spark, sf_dir):
     """The composites of a filtered relation, in the order in which buffered reading hands them out."""
     r = Relation(table(spark, sf_dir, "orders")).query("o_totalprice > 400000")
-    return r.composites().select(F.col("orders__o_orderkey").alias("o_orderkey"), F.row_number().over(Window.orderBy(*r.order())).cast("long").alias("place"))
-
-
-__all__ = ["RECNO"]
+    return r.sequenced("place").select(F.col("orders__o_orderkey").alias("o_orderkey"), "place")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import currency, datelib
 from ..operators import dml
+from ..plans.sequence import numbered
 from .registry import query, scalar, table
 
 O, C, P = ("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey")
@@ -96,10 +97,8 @@ def fn_l2bin(spark, sf_dir):
 @query("fn_descend_bin", "SELECT p_partkey, row_number() OVER (ORDER BY p_type DESC, p_partkey) AS a FROM part")
 def fn_descend_bin(spark, sf_dir):
     """The order of descending keys, as ranks."""
-    from pyspark.sql import Window
-
     t = table(spark, sf_dir, "part")
-    return t.df.select("p_partkey", F.row_number().over(Window.orderBy(t.expr("DESCEND(p_type)"), "p_partkey")).cast("long").alias("a"))
+    return numbered(t.df, [t.expr("DESCEND(p_type)"), F.col("p_partkey")], "a").select("p_partkey", "a")
 
 
 # Dates and times.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, UniqueError
+from ..plans.sequence import numbered
 from ..types import FieldInfo, blank, field_of
 from .table import DELETED, RECNO, Table
 
@@ -21,8 +22,8 @@ def append(table: Table, rows: DataFrame, order: list[str] | None = None) -> Tab
     missing = [f for f in table.fields if f.name not in rows.columns]
     rows = rows.withColumns({f.name: blank(f.kind, table.df.schema[f.name].dataType) for f in missing})
     last = table.df.agg(F.coalesce(F.max(RECNO), F.lit(0))).first()[0]
-    number = F.row_number().over(Window.orderBy(*(order or [f.name for f in table.fields])))
-    new = rows.select(*(F.col(f"`{f.name}`").cast(table.df.schema[f.name].dataType).alias(f.name) for f in table.fields), (number + last).cast("long").alias(RECNO), F.lit(False).alias(DELETED))
+    rows = numbered(rows, [F.col(f"`{c}`") for c in order or [f.name for f in table.fields]], RECNO)
+    new = rows.select(*(F.col(f"`{f.name}`").cast(table.df.schema[f.name].dataType).alias(f.name) for f in table.fields), (F.col(RECNO) + last).cast("long").alias(RECNO), F.lit(False).alias(DELETED))
     out = _changed(table, table.df.unionByName(new))
     for tag in table.tags.values():
         if tag.unique == "error":

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError, ExpressionError, RelationTerminated
 from ..plans.compiler import Compiler, Typed, directed, field_value
 from ..plans.explain import pushed_filters
-from ..plans.storage import materialise
+from ..plans.sequence import numbered
 from ..plans.syntax import conjuncts, names, parse
 from ..types import NUM, blank, field_of
 from .table import DELETED, RECNO, Table
@@ -353,21 +353,8 @@ class Relation:
         return self.composites().orderBy(*self.order(reverse))
 
     def sequenced(self, name: str = "_seq") -> DataFrame:
-        """Composites numbered from 1 in the relation's order.
-
-        A range-sort; then each partition's rows are numbered behind those of the partitions before it, of which the
-        driver sees one count each.
-        """
-        rows = self.ordered()
-        counted = rows.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-        kept = materialise(counted)
-        sizes = {r["_part"]: r["n"] for r in kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        before, total = [], 0
-        for part in sorted(sizes):
-            before.append((part, total))
-            total += sizes[part]
-        offsets = rows.sparkSession.createDataFrame(before, "_part int, _before long")
-        return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_part", "_before", "_in")
+        """Composites numbered from 1 in the relation's order."""
+        return numbered(self.composites(), self.order(), name)
 
     def select(self, **expressions: str) -> DataFrame:
         """Expressions over the composites."""

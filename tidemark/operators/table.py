@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, ExpressionError, Status, UniqueError
 from ..plans.compiler import COLLATIONS, Compiler, Settings, Typed, field_value
+from ..plans.sequence import numbered
 from ..types import FieldInfo, blank, field_of
 
 RECNO, DELETED = "_recno", "_deleted"
@@ -74,7 +75,7 @@ class Table:
         if RECNO not in df.columns:
             if not recno:
                 raise EngineError("no record numbers", f"{name} needs an order for its records")
-            df = df.withColumn(RECNO, F.row_number().over(Window.orderBy(*recno)).cast("long"))
+            df = numbered(df, [F.col(c) for c in recno], RECNO)
         if DELETED not in df.columns:
             df = df.withColumn(DELETED, F.lit(False))
         return cls(df, name, **options)
@@ -288,9 +289,15 @@ class Table:
             same = key == F.lit(row["k"])
         return entries.filter(past | (same & further))
 
+    def sequenced(self, name: str | None = None, place: str = "_seq", reverse: bool = False) -> DataFrame:
+        """The entries with their places 1, 2, 3, … in a tag's order."""
+        return numbered(self.entries(name), self.order(name, reverse), place)
+
     def position(self, name: str | None = None) -> DataFrame:
         """Every entry with its fraction of the order, 0 for the first and 1 for the last."""
-        return self.entries(name).withColumn("position", F.percent_rank().over(Window.orderBy(*self.order(name))))
+        rows = self.sequenced(name, "position")
+        last = rows.agg(F.max("position")).first()[0] or 1
+        return rows.withColumn("position", (F.col("position") - 1) / F.lit(float(max(1, last - 1))))
 
     def position_set(self, fraction: float, name: str | None = None) -> DataFrame:
         """The entry at a fraction of the order: number ceil(fraction * n), the first at 0."""
