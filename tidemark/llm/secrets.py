@@ -53,7 +53,9 @@ FORMATS = (
     ("stripe", ("sk_live_", "rk_live_"), ALNUM, (24,), ""),
 )
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{15,}")
+#: Candidates are whole runs of these characters; a run of hexadecimal digits is always inside of one.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+KEYWORDS = ("token", "secret", "passw", "apikey", "api_key")
 BOUND, EXAMPLES = 400, 150
 #: Confidence of the compatibility test; nats a character by which a format must beat the background; slack below the examples' range.
 ALPHA, RATIO, SLACK = 0.05, 0.6, 0.35
@@ -212,28 +214,33 @@ class Model:
         best = max(((a.score(word), name) for name, a in self.formats.items() if len(word) >= self.shortest[name]), default=None)
         if best is None or best[0] < self.floor[best[1]]:
             return None
-        usual = self.background.score(word) if self.background else -math.log(68)
-        return best[1] if best[0] - max(usual, -math.log(68) - 0.5) >= RATIO or best[0] - usual >= RATIO and best[0] > -math.log(68) else None
+        if self.background and best[0] - self.background.score(word) < RATIO:
+            return None
+        return best[1]
 
 
-def base_spans(text: str) -> list[tuple[str, int, int, int]]:
-    """(kind, start, end, start of the secret itself), by start and kind."""
+def base_spans(text: str, runs: list[re.Match] | None = None) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, start of the secret itself), by start and kind. runs: what RUN finds, if it is known."""
     found = []
-    for m in ASSIGN.finditer(text):
-        if m.end(2) - m.start(2) >= LEAST["assign"]:
-            found.append(("assign", m.start(), m.end(), m.start(2)))
-    if "AKIA" in text:
-        found += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    found += [("hex", m.start(), m.end(), m.start()) for m in HEX_RUN.finditer(text)]
-    return sorted(found, key=lambda s: (s[1], BASE.index(s[0])))
-
-
-def candidates(text: str, taken: list[tuple]) -> list[tuple[int, int, str]]:
-    """Tokens with a letter and a digit that don't overlap the taken spans."""
+    lowered = text.lower()
+    if any(k in lowered for k in KEYWORDS):  # without one of them the pattern can't match
+        for m in ASSIGN.finditer(text):
+            if m.end(2) - m.start(2) >= LEAST["assign"]:
+                found.append(("assign", m.start(), m.end(), m.start(2)))
+    for run in RUN.finditer(text) if runs is None else runs:
+        if "AKIA" in run[0]:
+            found += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text, run.start(), run.end()) if m.end() - m.start() >= LEAST["access"]]
+        if run.end() - run.start() >= LEAST["hex"]:
+            found += [("hex", m.start(), m.end(), m.start()) for m in HEX_RUN.finditer(text, run.start(), run.end())]
+    return sorted(found, key=lambda s: (s[1], BASE.index(s[0]))) if len(found) > 1 else found
+
+
+def candidates(runs: list[re.Match], taken: list[tuple]) -> list[tuple[int, int, str]]:
+    """Runs with a letter and a digit that don't overlap the taken spans."""
     found = []
-    for m in CANDIDATE.finditer(text):
+    for m in runs:
         word = m[0].rstrip(".=-") if m[0][-1] in ".-" else m[0]
-        if len(word) < 16 or word.isalpha() or not any(map(str.isdigit, word)) or not any(map(str.isalpha, word)):
+        if len(word) < 16 or word[0] == "." or word.isalpha() or not any(map(str.isdigit, word)) or not any(map(str.isalpha, word)):
             continue
         start, end = m.start(), m.start() + len(word)
         if not any(s[1] < end and start < s[2] for s in taken):
@@ -243,9 +250,10 @@ def candidates(text: str, taken: list[tuple]) -> list[tuple[int, int, str]]:
 
 def scan(text: str | None, model: Model) -> tuple[list[tuple], list[tuple]]:
     """Base spans and added spans of a text."""
-    base = base_spans(text or "")
+    runs = list(RUN.finditer(text or ""))
+    base = base_spans(text or "", runs)
     added = []
-    for start, end, word in candidates(text or "", base):
+    for start, end, word in candidates(runs, base):
         if name := model.judge(word):
             added.append((f"fmt_{name}", start, end, start))
     return base, added
@@ -271,10 +279,11 @@ def train(df: DataFrame, bound: int = BOUND, text_col: str = "text") -> Model:
         def work(texts):
             found: dict[str, set[tuple[int, str]]] = defaultdict(set)
             for text in texts:
-                base = base_spans(text or "")
+                runs = list(RUN.finditer(text or ""))
+                base = base_spans(text or "", runs)
                 for kind, _, end, at in base:
                     found[kind].add((hash_of(text[at:end]), text[at:end][:200]))
-                found["ordinary"].update((hash_of(w), w[:200]) for _, _, w in candidates(text or "", base))
+                found["ordinary"].update((hash_of(w), w[:200]) for _, _, w in candidates(runs, base))
                 # long words stand for ordinary tokens where tokens with digits are rare; a 64th of them, by checksum
                 found["word"].update((hash_of(w), w) for w in set((text or "").split()) if 10 <= len(w) <= 200 and w.isascii() and w.isalnum() and not zlib.crc32(w.encode()) & 63)
                 for kind, some in found.items():
