@@ -82,6 +82,7 @@ def mix(df: DataFrame, weights=cyclic_weights, share: float = 1.0, repeats: int
     table = spark.createDataFrame([(s, int(sizes[s]), targets[s]) for s in sizes], "source string, source_size long, target double")
 
     # Position of a document in its source's queue: the words of the buckets before plus those before it in its bucket.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     digits = 1
     while 16**digits * BUCKET_ROWS < most:
         digits += 1
@@ -109,12 +110,12 @@ def mix(df: DataFrame, weights=cyclic_weights, share: float = 1.0, repeats: int
     entries = entries.filter(F.col("v_start") < 1).withColumn("words", F.when(F.col("v_finish") <= 1, F.col("size")).otherwise(part))
 
     # The global order: ranges of virtual time, sorted inside, with the words of the ranges before.
-    ranges = max(1, -(-sum(r["n"] for r in by_source) // BUCKET_ROWS))
+    ranges = max(4 * tasks, -(-sum(r["n"] for r in by_source) // BUCKET_ROWS))
     entries = entries.withColumn("range", F.least(F.floor(F.col("v_finish") * ranges), F.lit(ranges)).cast("int"))
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     by_range = entries.groupBy("range").agg(F.sum("words").alias("words")).select("range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("ahead"))
     in_range = Window.partitionBy("range").orderBy("v_finish", "order", "doc_id", "round").rowsBetween(Window.unboundedPreceding, -1)
-    served = entries.withColumn("inside", F.coalesce(F.sum("words").over(in_range), F.lit(0))).join(F.broadcast(by_range), "range")
+    served = entries.withColumn("inside", F.coalesce(F.sum("words").over(in_range), F.lit(0))).join(by_range, "range")
     served = served.withColumn("position", F.col("ahead") + F.col("inside")).filter(F.col("position") < budget)
     taken = served.groupBy("doc_id", "source", "size", "order", "start").agg(F.sum("words").alias("taken"), F.min("v_finish").alias("v_finish"), F.min("position").alias("position"))
     keys = ["doc_id", "source", "size", "order", "start"]
