@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import changes, joins, reports, scalars, scans
+from . import changes, joins, reports, scalars, scans, surface
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "Callable", "DataFrame", "SparkSession", "changes", "joins", "reports", "scalars", "scans"]
+__all__ = ["QUERIES", "SQL", "Callable", "DataFrame", "SparkSession", "changes", "joins", "reports", "scalars", "scans", "surface"]

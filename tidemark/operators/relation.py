@@ -21,6 +21,7 @@ from ..errors import EngineError, ExpressionError, RelationTerminated
 from ..plans.compiler import Compiler, Typed, directed, field_value
 from ..plans.explain import pushed_filters
 from ..plans.sequence import numbered
+from ..plans.storage import materialise
 from ..plans.syntax import conjuncts, names, parse
 from ..types import NUM, blank, field_of
 from .table import DELETED, RECNO, Table
@@ -438,6 +439,11 @@ class Relation:
         self._kept = self.composites().cache()
         return self
 
+    def lock(self) -> Relation:
+        """Reads a snapshot from now on: the composites as they are, kept in the shared folder."""
+        self._kept = materialise(self.composites())
+        return self
+
     def free(self) -> Relation:
         if self._kept is not None:
             self._kept.unpersist()

@@ -41,6 +41,12 @@ def read_table(spark: SparkSession, path: str, name: str, **options) -> Table:
     return Table(spark.read.parquet(path), name, **options)
 
 
+def remove_table(spark: SparkSession, path: str) -> bool:
+    """Deletes a stored table, through the file system of its path; whether there was one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def import_text(spark: SparkSession, path: str, fields: list[FieldInfo], name: str, **options) -> Table:
     """A text file of fixed-width records as a table; a value that can't be read is the type's blank."""
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_line"))
