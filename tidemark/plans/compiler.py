@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..errors import ExpressionError
 from ..functions import kernels as K
-from ..types import BIN, CUR, DATE, FLT, LOG, MEMO, NUM, STR, TIME
+from ..types import CUR, DATE, FLT, LOG, MEMO, NUM, STR, TIME
 from .syntax import Binary, Call, Literal, Name, Not, parse
 
 
@@ -260,4 +260,4 @@ class Compiler:
         return found(self, Typed, [self._node(x) for x in arguments])
 
 
-__all__ = ["BIN", "COLLATIONS", "Compiler", "Settings", "Typed", "directed", "field_value"]
+__all__ = ["COLLATIONS", "Compiler", "Settings", "Typed", "directed", "field_value"]
