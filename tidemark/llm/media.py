@@ -20,7 +20,6 @@ every column of the query.  An empty table gives no rows and no shard.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid

@@ -40,7 +40,6 @@ BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
 CELL = 4096
 #: Node pairs that go down together at once; bounds the memory of the traversal.
 FRONT = 1 << 17
-_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
