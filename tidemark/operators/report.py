@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from ..plans.storage import materialise
 
 #: Rows of a block of consecutive rows.
 BLOCK = 50_000
@@ -66,10 +67,15 @@ def with_previous(df: DataFrame, columns: dict[str, Column], order: str = "_seq"
 
 
 def running(df: DataFrame, values: dict[str, tuple[str, Column]], keys: list[str] | None = None, order: str = "_seq", block: int = BLOCK) -> DataFrame:
-    """Running sums, maxima or minima (name: (function, value)) within keys, up to and including each row."""
+    """Running sums, maxima or minima (name: (function, value)) within keys, up to and including each row.
+
+    The rows are read twice (once for the blocks' sums), so they are stored first: else each further level of totals would
+    double the work of all before it.
+    """
     keys = keys or []
     agg = {"sum": F.sum, "max": F.max, "min": F.min}
     rows = df.withColumn("_block", F.floor((F.col(order) - 1) / block)).withColumns({f"_v_{k}": v for k, (_, v) in values.items()})
+    rows = materialise(rows)
     parts = rows.groupBy(*keys, "_block").agg(*(agg[f](f"_v_{k}").alias(f"_p_{k}") for k, (f, _) in values.items()))
     ahead = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*keys, "_block", *(agg[f](f"_p_{k}").over(ahead).alias(f"_a_{k}") for k, (f, _) in values.items()))
