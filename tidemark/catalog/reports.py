@@ -15,14 +15,12 @@ BY_CUSTOMER = "ORDER BY o_custkey, o_orderkey"
 def orders_by_customer(spark, sf_dir):
     """Orders in the order of their customers, numbered; a group's run is its key."""
     t = table(spark, sf_dir, "orders").with_tag(Tag("cust", "o_custkey"))
-    rows = Relation(t, tag="cust").sequenced()
-    return rows.select("_seq", *(F.col(f"orders__{c}").alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")))
+    return Relation(t, tag="cust").sequenced(columns=[F.col(f"orders__{c}").alias(c) for c in ("o_orderkey", "o_custkey", "o_totalprice")])
 
 
 def events_in_order(spark, sf_dir):
     t = table(spark, sf_dir, "events")
-    rows = Relation(t).sort("ts").sequenced()
-    return rows.select("_seq", *(F.col(f"events__{c}").alias(c) for c in ("event_id", "event_type", "value", "user_id")))
+    return Relation(t).sort("ts").sequenced(columns=[F.col(f"events__{c}").alias(c) for c in ("event_id", "event_type", "value", "user_id")])
 
 
 
@@ -161,7 +159,7 @@ def rep_query(spark, sf_dir):
 @query("rep_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS seq FROM orders")
 def rep_sort(spark, sf_dir):
     r = Relation(table(spark, sf_dir, "orders")).sort("o_orderpriority")
-    return r.sequenced().select(F.col("orders__o_orderkey").alias("o_orderkey"), F.col("_seq").alias("seq"))
+    return r.sequenced("seq", [F.col("orders__o_orderkey").alias("o_orderkey")])
 
 
 @query("fn_total", "SELECT o_custkey, round(sum(o_totalprice) / count(*), 6) AS mean FROM orders GROUP BY 1")

@@ -108,14 +108,14 @@ def scan_count(spark, sf_dir):
 @query("scan_order", "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS place FROM part")
 def scan_order(spark, sf_dir):
     t = by_name(spark, sf_dir)
-    return t.sequenced(place="place").select("p_partkey", "p_name", "place")
+    return t.sequenced(place="place", columns=[F.col("p_partkey"), F.col("p_name")])
 
 
 @query("scan_order_net", "SELECT p_partkey, row_number() OVER (ORDER BY p_name DESC, p_partkey DESC) AS place FROM part")
 def scan_order_net(spark, sf_dir):
     """The order walked from its last entry."""
     t = by_name(spark, sf_dir)
-    return t.sequenced(place="place", reverse=True).select("p_partkey", "place")
+    return t.sequenced(place="place", reverse=True, columns=[F.col("p_partkey")])
 
 
 @query("src_seq", "SELECT count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents")
@@ -230,7 +230,7 @@ def seek_many(spark, sf_dir):
 @query("tag_walk", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders")
 def tag_walk(spark, sf_dir):
     t = by_customer(spark, sf_dir)
-    return t.sequenced(place="place").select("o_orderkey", "place")
+    return t.sequenced(place="place", columns=[F.col("o_orderkey")])
 
 
 # Tags.
@@ -245,7 +245,7 @@ def tag_count(spark, sf_dir):
 @query("tag_expr", "SELECT p_partkey, row_number() OVER (ORDER BY upper(p_type), p_brand, p_partkey) AS place FROM part")
 def tag_expr(spark, sf_dir):
     r = Relation(table(spark, sf_dir, "part")).sort("UPPER(p_type) + p_brand")
-    return r.sequenced("place").select(F.col("part__p_partkey").alias("p_partkey"), "place")
+    return r.sequenced("place", [F.col("part__p_partkey").alias("p_partkey")])
 
 
 @query("tag_filter", "SELECT p_partkey, p_name FROM part WHERE p_size > 25")
@@ -256,7 +256,7 @@ def tag_filter(spark, sf_dir):
 @query("tag_desc", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey DESC) AS place FROM orders")
 def tag_desc(spark, sf_dir):
     t = by_customer(spark, sf_dir, descending=True)
-    return t.sequenced(place="place").select("o_orderkey", "place")
+    return t.sequenced(place="place", columns=[F.col("o_orderkey")])
 
 
 @query("tag_unique_cont", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
@@ -280,7 +280,7 @@ def tag_uniqueset(spark, sf_dir):
 def tag_collate(spark, sf_dir):
     """A collation that ignores case and accents."""
     t = by_name(spark, sf_dir, collation="general")
-    return t.sequenced(place="place").select("p_partkey", "place")
+    return t.sequenced(place="place", columns=[F.col("p_partkey")])
 
 
 @query("tag_nullkey", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey END NULLS FIRST, o_orderkey) AS place FROM orders")
@@ -288,7 +288,7 @@ def tag_nullkey(spark, sf_dir):
     """Null keys come first."""
     t = table(spark, sf_dir, "orders")
     t = replace(t, df=t.df.withColumn("k", F.expr("IF(o_custkey % 3 = 0, NULL, o_custkey)"))).with_tag(Tag("k", "k")).select_tag("k")
-    return t.sequenced(place="place").select("o_orderkey", "place")
+    return t.sequenced(place="place", columns=[F.col("o_orderkey")])
 
 
 @query("tag_add", "SELECT 'cust' AS name, 'o_custkey' AS key UNION ALL SELECT 'price', 'o_totalprice'")
@@ -392,7 +392,7 @@ def proj_alias(spark, sf_dir):
 def _ranked(relation, key):
     """A relation's order as places."""
     root = relation.root.alias
-    return relation.sequenced("place").select(F.col(f"{root}__{key}").alias(key), "place")
+    return relation.sequenced("place", [F.col(f"{root}__{key}").alias(key)])
 
 
 @query("sort_rel", "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_name, c_custkey) AS place FROM customer")
@@ -417,7 +417,7 @@ def sort_do(spark, sf_dir):
     r = Relation(table(spark, sf_dir, "orders"))
     r.slave(table(spark, sf_dir, "customer").with_tag(Tag("key", "c_custkey")), "o_custkey", "key", action="skip")
     r.sort("customer->c_name")
-    return r.sequenced().select(F.col("orders__o_orderkey").alias("o_orderkey"), F.col("_seq").alias("seq"))
+    return r.sequenced("seq", [F.col("orders__o_orderkey").alias("o_orderkey")])
 
 
 @query("sort_api", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")

@@ -353,9 +353,9 @@ class Relation:
     def ordered(self, reverse: bool = False) -> DataFrame:
         return self.composites().orderBy(*self.order(reverse))
 
-    def sequenced(self, name: str = "_seq") -> DataFrame:
-        """Composites numbered from 1 in the relation's order."""
-        return numbered(self.composites(), self.order(), name)
+    def sequenced(self, name: str = "_seq", columns: list[Column] | None = None) -> DataFrame:
+        """Composites (or some columns of them) numbered from 1 in the relation's order."""
+        return numbered(self.composites(), self.order(), name, columns)
 
     def select(self, **expressions: str) -> DataFrame:
         """Expressions over the composites."""

@@ -289,9 +289,9 @@ class Table:
             same = key == F.lit(row["k"])
         return entries.filter(past | (same & further))
 
-    def sequenced(self, name: str | None = None, place: str = "_seq", reverse: bool = False) -> DataFrame:
-        """The entries with their places 1, 2, 3, … in a tag's order."""
-        return numbered(self.entries(name), self.order(name, reverse), place)
+    def sequenced(self, name: str | None = None, place: str = "_seq", reverse: bool = False, columns: list[Column] | None = None) -> DataFrame:
+        """The entries (or some columns of them) with their places 1, 2, 3, … in a tag's order."""
+        return numbered(self.entries(name), self.order(name, reverse), place, columns)
 
     def position(self, name: str | None = None) -> DataFrame:
         """Every entry with its fraction of the order, 0 for the first and 1 for the last."""

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "_seq") -> DataFrame:
-    """df's rows with their numbers 1, 2, 3, … in an order.
+def numbered(df: DataFrame, order: list[Column], name: str = "_seq", columns: list[Column] | None = None) -> DataFrame:
+    """df's rows (or some columns of them) with their numbers 1, 2, 3, … in an order.
 
     A range sort, kept in the shared folder, numbers the rows of each partition; of every partition one count goes to
     the driver and comes back as the number of rows before it.
     """
     inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    kept = materialise(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", inside))
+    kept = materialise(df.orderBy(*order).select(*(columns or ["*"]), F.spark_partition_id().alias("_part"), inside.alias("_in")))
     sizes = {r["_part"]: r["n"] for r in kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = [], 0
     for part in sorted(sizes):
