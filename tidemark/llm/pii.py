@@ -32,12 +32,13 @@ from .common import map_columns, materialise, prepare, read
 # Kinds in their order and the patterns. Where a pattern could start inside a run of its own first
 # characters, the run's start is the leftmost; the look-behinds say so and keep time proportional to length.
 BASE = ("email", "ip", "card", "phone")
-EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]")
 EMAIL_RIGHT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+DIGIT = re.compile(r"[0-9]")
+
 WINDOW, SUPPORT, THRESHOLD, FEW = 8, 4, 0.8, 100_000
 WORD = re.compile(r"[^\W_]+")
 _LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -71,6 +72,8 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), by kind and start. A match that fails its check is dropped and not tried again shorter."""
     found = [("email", a, b) for a, b in emails(text)]
+    if not DIGIT.search(text):  # every other kind has one
+        return found
     if "." in text:
         found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split("."))]
     for m in CARD.finditer(text):
@@ -137,9 +140,13 @@ def disclosing(df: DataFrame, text_col: str = "text", window: int = WINDOW, supp
             # documents of the batch by term; entities are counted like terms, by their own names
             count: Counter[str] = Counter()
             for t in texts:
-                base = base_spans(t or "")
-                count.update({w[0] for w in terms(t or "", base)})
-                count.update({entity(k, t[a:b]) for k, a, b in base})
+                t = t or ""
+                base = base_spans(t)
+                if base:
+                    count.update({w[0] for w in terms(t, base)})
+                    count.update({entity(k, t[a:b]) for k, a, b in base})
+                else:
+                    count.update({w.lower() for w in set(WORD.findall(t)) if len(w) > 1 and not w.isdigit()})
             return list(count), list(count.values())
 
         return work
