@@ -54,11 +54,11 @@ _whole("max", "round(max(l_quantity), 4)")
 _whole("min", "round(min(l_quantity), 4)")
 
 
-@query("agg_running", f"SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS total, count(*) OVER w AS n, round(avg(o_totalprice) OVER w, 4) AS mean, max(o_totalprice) OVER w AS most FROM orders WINDOW w AS (PARTITION BY o_custkey {BY_CUSTOMER})")
+@query("agg_running", f"SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS total, count(*) OVER w AS n, round(avg(o_totalprice) OVER w, 6) AS mean, max(o_totalprice) OVER w AS most FROM orders WINDOW w AS (PARTITION BY o_custkey {BY_CUSTOMER})")
 def agg_running(spark, sf_dir):
     totals = [Total("total", "sum", price(), "cust"), Total("n", "count", None, "cust"), Total("mean", "average", price(), "cust"), Total("most", "max", price(), "cust")]
     rows = Report(orders_by_customer(spark, sf_dir), [cust()], totals, sorted_by_groups=True).with_running()
-    return rows.select("o_orderkey", F.round("total", 2).alias("total"), "n", F.round("mean", 4).alias("mean"), "most")
+    return rows.select("o_orderkey", F.round("total", 2).alias("total"), "n", F.round("mean", 6).alias("mean"), "most")
 
 
 @query("agg_lookahead", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS total, count(*) OVER () AS n FROM orders")
