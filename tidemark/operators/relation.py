@@ -224,13 +224,16 @@ class Relation:
         slaves = self._first_of_key(node, slaves)
         how = "inner" if node.action == SKIP else "left"
         found = masters.join(slaves, condition, how).drop("_mk", "_sk")
-        if node.action == TERMINATE:
-            # Composites before the first miss, in the order of the relation.
-            order = [F.col(c) for c in self._order_columns(above)]
-            missing = F.col(f"`{node.alias}__{RECNO}`").isNull()
-            first = found.filter(missing).select(F.struct(*self._order_columns(above)).alias("_stop")).agg(F.min("_stop").alias("_stop"))
-            found = found.join(F.broadcast(first)).filter(F.col("_stop").isNull() | (F.struct(*order) < F.col("_stop"))).drop("_stop")
-        return found
+        return self._cut(node, found, above)
+
+    def _cut(self, node: Node, found: DataFrame, above: list[Node]) -> DataFrame:
+        """Of a terminating lookup, the composites before the first miss in the order of the nodes above it."""
+        if node.action != TERMINATE:
+            return found
+        missing = F.col(f"`{node.alias}__{RECNO}`").isNull()
+        order = F.struct(*(F.col(f"`{c}`") for c in self._order_columns(above)))
+        first = found.filter(missing).agg(F.min(order).alias("_stop"))  # one row
+        return found.join(F.broadcast(first)).filter(F.col("_stop").isNull() | (order < F.col("_stop"))).drop("_stop")
 
     def _order_columns(self, above: list[Node]) -> list[str]:
         return [f"{n.alias}__{RECNO}" for n in above]
@@ -282,10 +285,11 @@ class Relation:
                 rows = self._expand(child, self._lookup(child, rows, above), above)
                 above = [*above, *child.walk()]
         scans = [c for c in node.children if c.type == SCAN]
-        if len(scans) == 1 and not any(c.action == TERMINATE for c in scans):
+        if len(scans) == 1:
             masters, slaves, condition = self._sides(scans[0], rows, above)
             how = "inner" if scans[0].action == SKIP else "left"
-            return self._expand(scans[0], masters.join(slaves, condition, how).drop("_mk", "_sk"), above)
+            found = self._cut(scans[0], masters.join(slaves, condition, how).drop("_mk", "_sk"), above)
+            return self._expand(scans[0], found, above)
         if not scans:
             return rows
         # Several scans take turns: while one runs through its matches the others, with all below them, are blank.
