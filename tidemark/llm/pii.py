@@ -199,21 +199,20 @@ def sanitise(text: str, base: list[tuple], added: list[tuple]) -> str:
     return "".join(out) + text[at:]
 
 
-def find(df: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
-    """One row a document: id, base and added (arrays of kind, start, end), sanitised.
+SPANS = "array<struct<kind: string, start: int, end: int>>"
+
+
+def _applied(df: DataFrame, told: DataFrame, id_col: str, text_col: str, few: int, schema: str, row) -> DataFrame:
+    """One row a document: id and row(text, base spans, added spans).
 
     told are the disclosing terms; up to few of them go to every task, more are joined with the documents' terms.
     """
     spark = df.sparkSession
     prepare(spark)
-    kind_of = dict(df.dtypes)[id_col]
-    span = "array<struct<kind: string, start: int, end: int>>"
-    schema = f"`{id_col}` {kind_of}, base {span}, added {span}, sanitised string"
-    form = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
+    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, {schema}"
 
     def rows(keys, texts, known_of):
-        found = [spans_of(t, k) for t, k in zip(texts, known_of, strict=True)]
-        return keys, [form(b) for b, _ in found], [form(a) for _, a in found], [None if t is None else sanitise(t, b, a) for t, (b, a) in zip(texts, found, strict=True)]
+        return keys, *map(list, zip(*(row(t, *spans_of(t, k)) for t, k in zip(texts, known_of, strict=True)), strict=True))
 
     head = told.limit(few + 1).collect()
     if len(head) <= few:
@@ -221,7 +220,7 @@ def find(df: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str =
         return map_columns(df, [id_col, text_col], schema, lambda: lambda keys, texts: rows(keys, texts, [sent.value] * len(keys)))
 
     # Each document gets its own disclosing terms, whose number is bounded by its text; rows of equal texts share them.
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    texts = df.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
 
     def own():
         def work(digests, some):
@@ -232,28 +231,30 @@ def find(df: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str =
 
     met = map_columns(texts, ["digest", "text"], "digest string, term string", own).join(told, "term").distinct()
     met = met.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("known"))
-    with_terms = df.withColumn("digest_", F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), "digest_")
+    with_terms = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("digest_"))
     with_terms = with_terms.join(met.withColumnRenamed("digest", "digest_"), "digest_", "left")
     return map_columns(with_terms, [id_col, text_col, "known"], schema, lambda: lambda keys, some, known: rows(keys, some, [dict(k or []) for k in known]))
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return digests(docs, disclosing(docs))
+def find(df: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
+    """One row a document: id, base and added (arrays of kind, start, end), sanitised (the text; null stays null)."""
 
+    def row(text, base, added):
+        form = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
+        return form(base), form(added), None if text is None else sanitise(text, base, added)
 
-def digests(df: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added; derived from find()."""
-    found = find(df, told, id_col, text_col)
+    return _applied(df, told, id_col, text_col, few, f"base {SPANS}, added {SPANS}, sanitised string", row)
 
-    def make():
-        def work(keys, base, added):
-            out = []
-            for b, a in zip(base, added, strict=True):
-                b, a = ([(s["kind"], s["start"], s["end"]) for s in x] for x in (b, a))
-                out.append((*(sum(s[0] == k for s in b) for k in BASE), hashlib.sha256(joined(ordered(b, [])).encode()).hexdigest(), joined(ordered(b, a)), len(a)))
-            return keys, *map(list, zip(*out, strict=True))
 
-        return work
+def digests(df: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
+    """One row a document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, of the spans that find() tells."""
+
+    def row(text, base, added):
+        return *(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(ordered(base, [])).encode()).hexdigest(), joined(ordered(base, added)), len(added)
+
+    return _applied(df, told, id_col, text_col, few, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", row)
+
 
-    return map_columns(found, [id_col, "base", "added"], f"`{id_col}` {dict(df.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", make)
+def query(spark, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return digests(docs, disclosing(docs))
