@@ -55,7 +55,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def to_png(payload: bytes, level: int = 3) -> bytes:
+def to_png(payload: bytes, level: int = 6) -> bytes:
     """A payload, whose length is a multiple of WIDTH, as an image; its rows have filter 0."""
     rows = np.zeros((len(payload) // WIDTH, WIDTH + 1), np.uint8)
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
