@@ -290,15 +290,22 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """One row a document: id, fp, root (the least fingerprint of its component), component_id (least id reachable)."""
     prints = materialise(fingerprints(df, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    distinct = materialise(distinct)
+    distinct = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
     found = components(links(distinct.select("fp"), budget))
     # Least id of every component, for the fingerprints that have links.
     met = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
     of_root = met.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = met.join(of_root, "root").select("fp", "root", "component_id")
-    reach = distinct.join(of_print, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(reach, "fp").select(F.col(f"`{id_col}`"), "fp", "root", "component_id")
+    reach = distinct.join(of_print, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    reach = materialise(reach)
+    # Fingerprints with more than a thousandth of the rows are less than a thousand: they go to every task, so that
+    # no task of the join meets a large group of copies.
+    total = reach.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = reach.filter(F.col("n") * 1000 > total)
+    hot = prints.join(F.broadcast(many.drop("n")), "fp")
+    rest = prints.join(F.broadcast(many.select("fp")), "fp", "left_anti").join(reach.drop("n"), "fp")
+    names = [F.col(f"`{id_col}`"), "fp", "root", "component_id"]
+    return hot.select(*names).unionAll(rest.select(*names))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
