@@ -85,12 +85,12 @@ query("tag_reindex", REINDEXED)(_reindexed)
 query("dml_reindex", REINDEXED)(_reindexed)
 
 
-@query("dml_memocompact", "SELECT doc_id, upper(left(text, 5)) AS head, length(text) AS n FROM documents WHERE doc_id < 50")
+@query("dml_memocompact", "SELECT doc_id, left(text, 5) AS head, length(text) AS n FROM documents WHERE doc_id < 50")
 def dml_memocompact(spark, sf_dir):
     """Memos stored anew after a change take the room of their values alone, which stay the same."""
     docs = table(spark, sf_dir, "documents")
     files.write_table(dml.pack(docs.filter("doc_id < 50")), path := folder(spark))
-    return files.read_table(spark, path, "documents").df.select("doc_id", F.upper(F.substring("text", 1, 5)).alias("head"), F.length("text").cast("long").alias("n"))
+    return files.read_table(spark, path, "documents").df.select("doc_id", F.substring("text", 1, 5).alias("head"), F.length("text").cast("long").alias("n"))
 
 
 @query("ddl_remove", "SELECT 1 AS before, 0 AS after")
