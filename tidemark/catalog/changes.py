@@ -172,7 +172,16 @@ def snk_text(spark, sf_dir):
 @query("snk_memofile", "SELECT doc_id, length(text) AS n FROM documents WHERE doc_id < 20")
 def snk_memofile(spark, sf_dir):
     """Memos written to files, one each, and read back whole."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 20")
+    return _through_files(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 20"))
+
+
+@query("snk_memofile_all", "SELECT doc_id, length(text) AS n FROM documents")
+def snk_memofile_all(spark, sf_dir):
+    """The same of all memos."""
+    return _through_files(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _through_files(spark, docs):
     files.write_memo_files(docs, path := folder(spark), "doc_id", "text")
     back = files.read_memo_files(spark, f"{path}/name=*/*.txt")
     text = F.decode("content", "UTF-8")  # a text file ends with a line feed of its own

@@ -126,8 +126,17 @@ def src_seq(spark, sf_dir):
 @query("src_memo", "SELECT doc_id, text FROM documents WHERE doc_id % 50 = 0")
 def src_memo(spark, sf_dir):
     """Memos of chosen records."""
-    t = table(spark, sf_dir, "documents")
-    return t.df.filter("doc_id % 50 = 0").select("doc_id", "text")
+    return _memos(spark, sf_dir, "doc_id % 50 = 0")
+
+
+@query("src_memo_all", "SELECT doc_id, text FROM documents")
+def src_memo_all(spark, sf_dir):
+    """Memos of all records."""
+    return _memos(spark, sf_dir)
+
+
+def _memos(spark, sf_dir, chosen="true"):
+    return table(spark, sf_dir, "documents").df.filter(chosen).select("doc_id", "text")
 
 
 # Seeks.
