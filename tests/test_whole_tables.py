@@ -15,3 +15,11 @@ def test_every_memo(spark, name):
     for key, text in want.items():
         row = got[key]
         assert row.get("text", text) == text and row.get("n", len(text)) == len(text) and row.get("assigned", f"{text}!") == f"{text}!"
+
+
+def test_every_row_is_sorted(spark):
+    rows = [(r["l_orderkey"], r["l_linenumber"], r["l_extendedprice"]) for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()]
+    rows.sort(key=lambda r: (-r[2], r[0], r[1]))
+    got = sorted(catalog.QUERIES["sort_api_all"](spark, SF).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in got] == list(range(1, len(rows) + 1))
+    assert [(r["l_orderkey"], r["l_linenumber"], r["l_extendedprice"]) for r in got] == rows

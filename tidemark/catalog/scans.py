@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.recordset import RecordSet
 from ..operators.relation import Relation
 from ..operators.table import DELETED, RECNO, Tag
+from ..plans.sequence import numbered
 from .registry import query, recno, table
 
 ORDERS = "SELECT *, row_number() OVER (ORDER BY o_orderkey) AS recno FROM orders"
@@ -435,6 +436,13 @@ def sort_api(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(100)
 
 
+@query("sort_api_all", "SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place FROM lineitem")
+def sort_api_all(spark, sf_dir):
+    """A stand-alone sort of all rows with their payload, each with its place."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return numbered(rows, [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], "place")
+
+
 @query("limit_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def limit_topk(spark, sf_dir):
     r = Relation(table(spark, sf_dir, "orders")).sort("DESCEND(o_totalprice)")
