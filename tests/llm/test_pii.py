@@ -79,3 +79,15 @@ def test_edges(spark, odd, empty):
     assert len(rows) == odd.count() and {r["spans"] for r in rows} == {""}
     assert P.digests(empty, P.disclosing(empty)).count() == 0
     assert P.sanitise("a b@c.de f", [("email", 2, 8)], []) == "a [EMAIL] f"
+
+
+def test_rare_entities_disclose_too(spark):
+    """Two and three contexts are enough where the entity is rare; one is none, and a common word never is."""
+    drawn = random.Random(7)
+    filler = lambda k: " ".join(f"word{drawn.choice('abcdefghij')}{drawn.choice('abcdefghij')}" for _ in range(k))
+    rows = [(i, filler(20)) for i in range(4000)]
+    rows += [(4000 + i, f"{filler(4)} quaxil {filler(2)} two@example.org {filler(5)}") for i in range(2)]
+    rows += [(4100 + i, f"{filler(4)} three@example.org zorblax {filler(5)}") for i in range(3)]
+    rows += [(4200, f"{filler(4)} once@example.org hapax {filler(5)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["term"]: r["kind"] for r in P.disclosing(df).collect()} == {"quaxil": "email", "zorblax": "email"}

@@ -3,8 +3,11 @@
 Protected entities are the values of the base patterns (email, ip, card, phone; see BASE).  The corpus tells how
 strongly a term t reveals an entity e: the point-wise mutual information of their occurrence in documents,
 log2(N c(t,e) / (c(t) c(e))), as a share of the entity's whole information log2(N / c(e)).  Terms are words within
-``window`` words of a mention; a pair counts once for each different context, so that copies of a document are no evidence,
-and needs ``support`` different ones.  A term that discloses at least ``threshold`` of an entity is sanitised
+``window`` words of a mention; a pair counts once for each different context, so that copies of a document are no evidence.
+The share is bounded from below: it reaches ``threshold`` where c(t,e) / c(t) reaches q = (c(e) / N)^(1 - threshold), and by
+Chernoff's bound k different contexts show that with confidence 1 - ``alpha`` if k/p KL(p || q) >= ln(1 / alpha), p being
+the observed c(t,e) / c(t).  So a rare entity needs no fixed number of contexts, but fewer the more information it has.
+A term that discloses at least ``threshold`` of an entity is sanitised
 wherever it stands: generalised to the entity's kind if all that it discloses is of one kind, else removed.
 
 Scale: all corpus statistics are aggregated over all documents, with partial counts before the shuffle; what is shuffled
@@ -21,6 +24,7 @@ points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -39,7 +43,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT = re.compile(r"[0-9]")
 
-WINDOW, SUPPORT, THRESHOLD, FEW = 8, 4, 0.8, 100_000
+WINDOW, ALPHA, THRESHOLD, FEW = 8, 0.05, 0.8, 100_000
 WORD = re.compile(r"[^\W_]+")
 _LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -124,7 +128,7 @@ def mentions(text: str, window: int = WINDOW) -> list[tuple[str, str, str]]:
     return found
 
 
-def disclosing(df: DataFrame, text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def disclosing(df: DataFrame, text_col: str = "text", window: int = WINDOW, alpha: float = ALPHA, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (term, kind): the terms that disclose a protected entity, and its kind ('any' if of several kinds)."""
     prepare(df.sparkSession)
 
@@ -153,20 +157,22 @@ def disclosing(df: DataFrame, text_col: str = "text", window: int = WINDOW, supp
 
     near = map_columns(df, [text_col], "entity string, term string, context string", pairs)
     # One row per pair and context, then per pair.
-    near = near.groupBy("entity", "term", "context").count().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= support)
-    near = materialise(near)
+    near = near.groupBy("entity", "term", "context").count().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
+    # What can't pass even if the term stands nowhere else and the entity in one document needs no counts.
+    total, needed = df.count(), math.log(1 / alpha)
+    near = materialise(near.filter(F.col("contexts") * ((1 - threshold) * math.log(max(total, 1))) >= needed))
     counted = map_columns(df, [text_col], "name string, n long", frequencies).groupBy("name").agg(F.sum("n").alias("n"))
-    total = df.count()
     names = near.select(F.col("term").alias("name")).unionAll(near.select(F.col("entity").alias("name"))).distinct()
     counted = materialise(counted.join(names, "name", "left_semi"))
     of_term = counted.select(F.col("name").alias("term"), F.col("n").alias("n_term"))
     of_entity = counted.select(F.col("name").alias("entity"), F.col("n").alias("n_entity"))
     both = near.join(of_term, "term").join(of_entity, "entity")
-    information = F.log2(total / F.col("n_entity"))
     # contexts can exceed documents where a document mentions an entity twice
-    shared = F.least("together", "n_term", "n_entity")
-    share = F.log2(total * shared / (F.col("n_term") * F.col("n_entity"))) / information
-    told = both.filter((information > 0) & (share >= threshold)).withColumn("kind", F.substring_index("entity", ":", 1))
+    p = F.least("contexts", "n_term", "n_entity") / F.col("n_term")
+    q = F.pow(F.col("n_entity") / total, F.lit(1 - threshold))
+    # KL(p || q) / p
+    surprise = F.log(p / q) + F.when(p < 1, (1 - p) / p * F.log((1 - p) / (1 - q))).otherwise(0)
+    told = both.filter((F.col("n_entity") < total) & (p >= q) & (F.col("contexts") * surprise >= needed)).withColumn("kind", F.substring_index("entity", ":", 1))
     return told.groupBy("term").agg(F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("any").alias("kind"))
 
 
