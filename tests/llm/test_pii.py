@@ -91,3 +91,15 @@ def test_rare_entities_disclose_too(spark):
     rows += [(4200, f"{filler(4)} once@example.org hapax {filler(5)}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["term"]: r["kind"] for r in P.disclosing(df).collect()} == {"quaxil": "email", "zorblax": "email"}
+
+
+def test_groups_of_copies_lose_nothing(spark):
+    """Term and entity stand in the same documents, of four contexts and many copies: all that there is to tell."""
+    rows = [(4 * i + k, f"context{'abcd'[k]} quaxil lives at me@example.org today{'abcd'[k]}") for i in range(100) for k in range(4)] + [(1000 + i, f"plain text today of number {i}") for i in range(40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["term"]: r["kind"] for r in P.disclosing(df).collect()} == {"quaxil": "email", "lives": "email", "at": "email"}
+
+
+def test_a_document_counts_once(spark):
+    found = P.mentions("quaxil a1b me@example.org or quaxil b2c me@example.org", window=2)
+    assert sum(n for _, w, _, n in found if w == "quaxil") == 1 and len({c for _, w, c, _ in found if w == "quaxil"}) == 2

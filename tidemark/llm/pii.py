@@ -3,7 +3,8 @@
 Protected entities are the values of the base patterns (email, ip, card, phone; see BASE).  The corpus tells how
 strongly a term t reveals an entity e: the point-wise mutual information of their occurrence in documents,
 log2(N c(t,e) / (c(t) c(e))), as a share of the entity's whole information log2(N / c(e)).  Terms are words within
-``window`` words of a mention; a pair counts once for each different context, so that copies of a document are no evidence.
+``window`` words of a mention.  All counts are documents, copies included; how sure the share is depends on the number of
+different contexts of a pair, so that copies of a document are no evidence.
 The share is bounded from below: it reaches ``threshold`` where c(t,e) / c(t) reaches q = (c(e) / N)^(1 - threshold), and by
 Chernoff's bound k different contexts show that with confidence 1 - ``alpha`` if k/p KL(p || q) >= ln(1 / alpha), p being
 the observed c(t,e) / c(t).  So a rare entity needs no fixed number of contexts, but fewer the more information it has.
@@ -110,8 +111,8 @@ def terms(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int,
     return found
 
 
-def mentions(text: str, window: int = WINDOW) -> list[tuple[str, str, str]]:
-    """(entity, term, context) of the terms near each entity; a context is named by its own terms."""
+def mentions(text: str, window: int = WINDOW) -> list[tuple[str, str, str, int]]:
+    """(entity, term, context, n) of the terms near each entity; a context is named by its own terms. n is 1 once a pair, else 0."""
     base = base_spans(text)
     if not base:
         return []
@@ -119,12 +120,15 @@ def mentions(text: str, window: int = WINDOW) -> list[tuple[str, str, str]]:
     starts = [w[1] for w in words]
     from bisect import bisect_left
 
-    found = []
+    found, met = [], set()
     for kind, a, b in base:
         i = bisect_left(starts, a)
         near = words[max(0, i - window) : i + window]
         context = hashlib.blake2b(" ".join(w[0] for w in near).encode(), digest_size=8).hexdigest()
-        found += [(entity(kind, text[a:b]), w, context) for w in {w[0] for w in near}]
+        name = entity(kind, text[a:b])
+        for w in {w[0] for w in near}:
+            found.append((name, w, context, int((name, w) not in met)))
+            met.add((name, w))
     return found
 
 
@@ -135,7 +139,7 @@ def disclosing(df: DataFrame, text_col: str = "text", window: int = WINDOW, alph
     def pairs():
         def work(texts):
             rows = [x for t in texts for x in mentions(t or "", window)]
-            return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [])
+            return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [], [])
 
         return work
 
@@ -155,9 +159,9 @@ def disclosing(df: DataFrame, text_col: str = "text", window: int = WINDOW, alph
 
         return work
 
-    near = map_columns(df, [text_col], "entity string, term string, context string", pairs)
+    near = map_columns(df, [text_col], "entity string, term string, context string, n long", pairs)
     # One row per pair and context, then per pair.
-    near = near.groupBy("entity", "term", "context").count().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
+    near = near.groupBy("entity", "term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("together"))
     # What can't pass even if the term stands nowhere else and the entity in one document needs no counts.
     total, needed = df.count(), math.log(1 / alpha)
     near = materialise(near.filter(F.col("contexts") * ((1 - threshold) * math.log(max(total, 1))) >= needed))
@@ -167,8 +171,7 @@ def disclosing(df: DataFrame, text_col: str = "text", window: int = WINDOW, alph
     of_term = counted.select(F.col("name").alias("term"), F.col("n").alias("n_term"))
     of_entity = counted.select(F.col("name").alias("entity"), F.col("n").alias("n_entity"))
     both = near.join(of_term, "term").join(of_entity, "entity")
-    # contexts can exceed documents where a document mentions an entity twice
-    p = F.least("contexts", "n_term", "n_entity") / F.col("n_term")
+    p = F.col("together") / F.col("n_term")
     q = F.pow(F.col("n_entity") / total, F.lit(1 - threshold))
     # KL(p || q) / p
     surprise = F.log(p / q) + F.when(p < 1, (1 - p) / p * F.log((1 - p) / (1 - q))).otherwise(0)
