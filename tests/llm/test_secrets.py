@@ -77,3 +77,31 @@ def test_edges(spark, odd, empty, model):
     assert tuple(S.redacted_rows(df, model).first()) == (1, "secret: '[SECRET]' é", 20)
     found = S.find(df, model).first()
     assert [tuple(s) for s in found["base"]] == [("assign", 0, 19)] and found["redacted"] == "secret: '[SECRET]' é"
+
+
+def test_credentials_inside_of_longer_runs(model):
+    drawn = random.Random(4)
+    body = lambda n, of=S.ALNUM: "".join(drawn.choice(of) for _ in range(n - 1)) + "7"
+    secrets = {"github": f"ghp_{body(36)}", "gitlab": f"glpat-{body(20)}", "stripe": f"sk_live_{body(24)}", "google": f"AIza{body(35)}", "npm": f"npm_{body(36)}", "slack": f"xoxb-{body(12, '0123456789')}-{body(12, '0123456789')}"}
+    for name, secret in secrets.items():
+        for before, after in (("GH_PAT=", ""), ("see --pat=", " now"), ("https://host/?key=", "&x=1"), ("https://host/v1/", "/info"), ("CI_JOB.", "."), ("a/b=", "=")):
+            text = f"x {before}{secret}{after}"
+            base, added = S.scan(text, model)
+            assert not base and (f"fmt_{name}", secret) in [(k, text[a:b]) for k, a, b, _ in added], text
+            assert secret not in S.redact(text, base + added)
+
+
+def test_parts_score_like_words(model):
+    word = "ab=ghp_12/x-eyJ0.Zz_9" * 3
+    for automaton in model.formats.values():
+        starts = list(range(0, len(word), 5))
+        assert automaton.suffixes(word, starts) == pytest.approx([automaton.score(word[s:]) for s in starts])
+
+
+def test_long_runs_take_time_in_proportion(model):
+    import time
+
+    began = time.process_time()
+    for run in ("eyJ" * 20_000 + "1", "a1-" * 20_000, "a1/b=" * 12_000, "ghp_1" * 12_000):
+        S.scan(run, model)
+    assert time.process_time() - began < 60

@@ -5,7 +5,10 @@ labelled examples where their statistics are compatible (state merging in red-bl
 bounds, after Carrasco and Oncina's ALERGIA; among several compatible states the one that gives the examples the
 highest likelihood).  A background automaton is inferred likewise from long ordinary tokens of the corpus.  Every
 candidate token of a text is scored: the log likelihood a character by the best format, and its ratio to the
-background.  A candidate that reaches the format's own range and the ratio adds a span.
+background.  A candidate that reaches the format's own range and the ratio adds a span.  Candidates are whole runs of
+credential characters; where one isn't a credential, its parts are tried: from every separator to the end of the run or to
+the next ``=`` or ``/``, and from every format's first characters to the end of that format's own characters.  Of the parts that
+pass, those with the most evidence (nats above the background) are kept, without overlap.
 
 Labelled examples: credentials made by the published rules of some formats, and the values that the base patterns find in
 the corpus (at most ``bound`` different ones, the least by hash).
@@ -55,6 +58,10 @@ FORMATS = (
 
 #: Candidates are whole runs of these characters; a run of hexadecimal digits is always inside of one.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: A part begins after any separator or at a format's first characters, and ends with the run, before = or /, or with the format's own characters.
+PART_START, PIECE = re.compile(r"(?<=[=/._-])[^=/._-]"), re.compile(r"[^=/]{16,}")
+OWN = {name: re.compile(f"(?:{'|'.join(map(re.escape, prefixes))})[{re.escape(alphabet + separator)}]*") for name, prefixes, alphabet, _, separator in FORMATS}
+FIRST = {name: re.compile("|".join(map(re.escape, prefixes))) for name, prefixes, _, _, _ in FORMATS}
 KEYWORDS = ("token", "secret", "passw", "apikey", "api_key")
 BOUND, EXAMPLES = 400, 150
 #: Confidence of the compatibility test; nats a character by which a format must beat the background; slack below the examples' range.
@@ -187,6 +194,25 @@ class Automaton:
             state = self.to[state].get(c, state)
         return (total + self.stop[state]) / (len(word) + 1)
 
+    def suffixes(self, word: str, starts: list[int]) -> list[float]:
+        """score() of word[s:] for each start s. Paths that meet share what follows, so time is in proportion to the word."""
+        known: dict[tuple[int, int], float] = {}
+        out, n = [], len(word)
+        for at in starts:
+            state, i, path = 0, at, []
+            while i < n and (i, state) not in known:
+                c = word[i]
+                found = self.logs[state].get(c)
+                path.append((i, state, self.rest[state][_CLASS[c]] if found is None else found))
+                state = self.to[state].get(c, state)
+                i += 1
+            total = self.stop[state] if i == n else known[i, state]
+            for i, state, log in reversed(path):
+                total += log
+                known[i, state] = total
+            out.append(total / (n - at + 1))
+        return out
+
 
 def made_examples(n: int = EXAMPLES) -> dict[str, list[str]]:
     """Labelled credentials by the published rules."""
@@ -218,6 +244,43 @@ class Model:
             return None
         return best[1]
 
+    def _suffixes(self, word: str, starts: list[int], names) -> list[tuple[float, int, int, str]]:
+        """(evidence, start, length, format) of the suffixes that are a credential."""
+        scores = {name: self.formats[name].suffixes(word, starts) for name in names if name in self.formats}
+        plain = self.background.suffixes(word, starts) if self.background else None
+        found = []
+        for k, at in enumerate(starts):
+            size = len(word) - at
+            best = max(((s[k], name) for name, s in scores.items() if size >= self.shortest[name]), default=None)
+            if best is None or best[0] < self.floor[best[1]] or plain and best[0] - plain[k] < RATIO:
+                continue
+            found.append(((best[0] - (plain[k] if plain else self.floor[best[1]])) * (size + 1), at, size, best[1]))
+        return found
+
+    def parts(self, run: str) -> list[tuple[float, int, int, str]]:
+        """(evidence, start, end, format) of the parts of a run that are credentials; they can overlap."""
+        found = []
+
+        def judged(a: int, b: int, starts: list[int], names) -> None:
+            word = run[a:b].rstrip(".=-")
+            last = max((i for i, c in enumerate(word) if c.isdigit()), default=-1)
+            letter = max((i for i, c in enumerate(word) if c.isalpha()), default=-1)
+            starts = [s - a for s in starts if s - a <= min(last, letter) and len(word) - (s - a) >= 16]
+            if starts:
+                found.extend((e, a + s, a + s + size, name) for e, s, size, name in self._suffixes(word, starts, names))
+
+        begins = [m.start() for m in PART_START.finditer(run)]
+        judged(0, len(run), begins, self.formats)
+        for m in PIECE.finditer(run):
+            if m.end() < len(run):
+                judged(m.start(), m.end(), [s for s in (m.start(), *(x.start() for x in PART_START.finditer(run, m.start() + 1, m.end())))], self.formats)
+        for name, own in OWN.items():
+            at = 0
+            while m := own.search(run, at):
+                judged(m.start(), m.end(), [x.start() for x in FIRST[name].finditer(run, m.start(), m.end())], (name,))
+                at = m.end()
+        return found
+
 
 def base_spans(text: str, runs: list[re.Match] | None = None) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, start of the secret itself), by start and kind. runs: what RUN finds, if it is known."""
@@ -256,7 +319,17 @@ def scan(text: str | None, model: Model) -> tuple[list[tuple], list[tuple]]:
     for start, end, word in candidates(runs, base):
         if name := model.judge(word):
             added.append((f"fmt_{name}", start, end, start))
-    return base, added
+    whole = {s[1] for s in added}
+    for m in runs:
+        if m.start() in whole or not any(map(str.isdigit, m[0])):
+            continue
+        taken = [(s[1], s[2]) for s in base if s[1] < m.end() and m.start() < s[2]]
+        for _, a, b, name in sorted(model.parts(m[0]), key=lambda p: (-p[0], p[1:])):
+            start, end = m.start() + a, m.start() + b
+            if not any(s < end and start < e for s, e in taken):
+                taken.append((start, end))
+                added.append((f"fmt_{name}", start, end, start))
+    return base, sorted(added, key=lambda s: s[1])
 
 
 def joined(spans: list[tuple]) -> str:
