@@ -105,3 +105,12 @@ def test_long_runs_take_time_in_proportion(model):
     for run in ("eyJ" * 20_000 + "1", "a1-" * 20_000, "a1/b=" * 12_000, "ghp_1" * 12_000):
         S.scan(run, model)
     assert time.process_time() - began < 60
+
+
+def test_web_tokens_of_any_length(model):
+    standard = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIiwiaWF0IjoxNTE2MjM5MDIyfQ.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+    assert len(standard) == 155 and model.judge(standard) == "jwt"
+    drawn = random.Random(8)
+    for sizes in ((17, 20, 43), (33, 60, 43), (40, 150, 86), (33, 300, 342)):
+        words = ["eyJ" + ".".join("".join(drawn.choice(S.ALNUM + "_-") for _ in range(k)) for k in sizes) for _ in range(20)]
+        assert sum(model.judge(w) == "jwt" for w in words) >= 18, sizes

@@ -6,7 +6,7 @@ bounds, after Carrasco and Oncina's ALERGIA; among several compatible states the
 highest likelihood).  A background automaton is inferred likewise from long ordinary tokens of the corpus.  Every
 candidate token of a text is scored: the log likelihood a character by the best format, and its ratio to the
 background.  A candidate that reaches the format's own range and the ratio adds a span.  Candidates are whole runs of
-credential characters; where one isn't a credential, its parts are tried: from every separator to the end of the run or to
+credential characters; and their parts: from every separator to the end of the run or to
 the next ``=`` or ``/``, and from every format's first characters to the end of that format's own characters.  Of the parts that
 pass, those with the most evidence (nats above the background) are kept, without overlap.
 
@@ -56,6 +56,9 @@ FORMATS = (
     ("stripe", ("sk_live_", "rk_live_"), ALNUM, (24,), ""),
 )
 
+#: Lengths of the parts that made examples have, where they aren't fixed: (least, most) of each part.
+RANGES = {"gitlab": ((20, 50),), "jwt": ((17, 60), (20, 200), (43, 86)), "slack": ((10, 13), (10, 13)), "stripe": ((24, 99),)}
+
 #: Candidates are whole runs of these characters; a run of hexadecimal digits is always inside of one.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: A part begins after any separator or at a format's first characters, and ends with the run, before = or /, or with the format's own characters.
@@ -219,7 +222,8 @@ def made_examples(n: int = EXAMPLES) -> dict[str, list[str]]:
     drawn = random.Random(3)
     made = {}
     for name, prefixes, alphabet, parts, separator in FORMATS:
-        body = lambda: separator.join("".join(drawn.choice(alphabet) for _ in range(k)) for k in parts)  # noqa: B023, E731
+        sizes = RANGES.get(name, tuple((k, k) for k in parts))
+        body = lambda: separator.join("".join(drawn.choice(alphabet) for _ in range(drawn.randint(a, b))) for a, b in sizes)  # noqa: B023, E731
         made[name] = [prefixes[i % len(prefixes)] + body() for i in range(n)]
     return made
 
@@ -232,11 +236,11 @@ class Model:
         for name, automaton in self.formats.items():
             own = sorted(automaton.score(w) for w in formats[name])
             self.floor[name] = own[len(own) // 50] - SLACK
-            lengths = sorted(map(len, formats[name]))
-            self.shortest[name] = lengths[len(lengths) // 50]
+            # The values of the corpus have lengths of their own; made examples say nothing of the least length.
+            self.shortest[name] = sorted(map(len, formats[name]))[len(own) // 50] if name in BASE else 0
 
     def judge(self, word: str) -> str | None:
-        """The format of a candidate, if it is one."""
+        """The format of a candidate, if it is one. The length of a published format is judged by its automaton alone."""
         best = max(((a.score(word), name) for name, a in self.formats.items() if len(word) >= self.shortest[name]), default=None)
         if best is None or best[0] < self.floor[best[1]]:
             return None
@@ -257,8 +261,11 @@ class Model:
             found.append(((best[0] - (plain[k] if plain else self.floor[best[1]])) * (size + 1), at, size, best[1]))
         return found
 
-    def parts(self, run: str) -> list[tuple[float, int, int, str]]:
-        """(evidence, start, end, format) of the parts of a run that are credentials; they can overlap."""
+    def parts(self, run: str) -> tuple[list[tuple], list[tuple]]:
+        """(evidence, start, end, format) of the parts of a run that are credentials, best first; they can overlap.
+
+        First those of a format's own characters, then others, which may have taken in what stands around.
+        """
         found = []
 
         def judged(a: int, b: int, starts: list[int], names) -> None:
@@ -274,12 +281,14 @@ class Model:
         for m in PIECE.finditer(run):
             if m.end() < len(run):
                 judged(m.start(), m.end(), [s for s in (m.start(), *(x.start() for x in PART_START.finditer(run, m.start() + 1, m.end())))], self.formats)
+        others, found = found, []
         for name, own in OWN.items():
             at = 0
             while m := own.search(run, at):
                 judged(m.start(), m.end(), [x.start() for x in FIRST[name].finditer(run, m.start(), m.end())], (name,))
                 at = m.end()
-        return found
+        best = lambda p: (-p[0], p[1:])
+        return sorted(found, key=best), sorted(others, key=best)
 
 
 def base_spans(text: str, runs: list[re.Match] | None = None) -> list[tuple[str, int, int, int]]:
@@ -316,15 +325,13 @@ def scan(text: str | None, model: Model) -> tuple[list[tuple], list[tuple]]:
     runs = list(RUN.finditer(text or ""))
     base = base_spans(text or "", runs)
     added = []
-    for start, end, word in candidates(runs, base):
-        if name := model.judge(word):
-            added.append((f"fmt_{name}", start, end, start))
-    whole = {s[1] for s in added}
+    whole = {start: [(0.0, 0, end - start, name)] for start, end, word in candidates(runs, base) if (name := model.judge(word))}
     for m in runs:
-        if m.start() in whole or not any(map(str.isdigit, m[0])):
+        if not any(map(str.isdigit, m[0])):
             continue
         taken = [(s[1], s[2]) for s in base if s[1] < m.end() and m.start() < s[2]]
-        for _, a, b, name in sorted(model.parts(m[0]), key=lambda p: (-p[0], p[1:])):
+        own, others = model.parts(m[0])
+        for _, a, b, name in own + whole.get(m.start(), []) + others:
             start, end = m.start() + a, m.start() + b
             if not any(s < end and start < e for s, e in taken):
                 taken.append((start, end))
