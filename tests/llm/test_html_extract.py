@@ -70,3 +70,10 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<article>x</article>"), (None, "u", "")], "page_id long, url string, html string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in H.extract(df).collect()) == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "x", 1)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_quoted_signs_of_any_length():
+    for size in (10, 100_000):
+        for quote in "\"'":
+            page = f"<article><p>One.</p><img alt={quote}x > y{quote} src={quote}data:{'A' * size}{quote}><p>Two.</p><div data-x = {quote}{'<p>no</p>' * size}{quote}>Three.</div></article>"
+            assert H.main_text(page) == "One.\nTwo.\nThree."

@@ -55,6 +55,7 @@ STOP = frozenset(
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
+_QUOTE = re.compile(r""">|=\s*(["'])""")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -70,20 +71,15 @@ class Block:
 
 def _end_of_tag(page: str, start: int) -> int:
     """Index of the '>' that ends the tag at start, which may stand behind quoted ones; -1 if there is none."""
-    end = page.find(">", start)
-    while end >= 0:
-        inside = page[start:end]
-        quote = max(inside.count('="') and '"' or "", inside.count("='") and "'" or "")
-        if not quote or inside.count(quote) % 2 == 0:
-            return end
-        close = page.find(quote, end)
-        if close < 0:
-            return end
-        following = page.find(">", close)
-        if following < 0 or following - start > 65_536:
-            return end
-        end = following
-    return end
+    at = start
+    while m := _QUOTE.search(page, at):
+        if not m[1]:
+            return m.start()
+        close = page.find(m[1], m.end())
+        if close < 0:  # never closed, so the quote is read as any character
+            return page.find(">", m.end())
+        at = close + 1
+    return -1
 
 
 def _marked(attributes: str) -> bool:
