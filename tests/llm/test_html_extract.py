@@ -77,3 +77,15 @@ def test_quoted_signs_of_any_length():
         for quote in "\"'":
             page = f"<article><p>One.</p><img alt={quote}x > y{quote} src={quote}data:{'A' * size}{quote}><p>Two.</p><div data-x = {quote}{'<p>no</p>' * size}{quote}>Three.</div></article>"
             assert H.main_text(page) == "One.\nTwo.\nThree."
+
+
+@pytest.mark.parametrize("mark", ["content with-sidebar", "no-sidebar", "has-banner", "social-page"])
+def test_layout_wrappers_decide_nothing(mark):
+    inner = f'<article><h1>T</h1><p>Yes.</p><div class="ad">{PROSE}</div><p>{PROSE}</p></article><div class="sidebar"><p>{PROSE}</p></div>'
+    assert H.main_text(f'<body><div class="{mark}"><div id="{mark}">{inner}</div></div><footer>x</footer></body>') == f"T\nYes.\n{PROSE}"
+    assert H.main_text(f'<body><div class="{mark}"><p>{PROSE} {PROSE}</p><div class="sidebar"><p>{PROSE}</p></div><p>{PROSE} {PROSE}</p></div></body>') == f"{PROSE} {PROSE}\n{PROSE} {PROSE}"
+
+
+def test_comments_as_articles_stay_boilerplate():
+    page = f'<body><div id="post"><p>{PROSE} {PROSE}</p><p>{PROSE} {PROSE}</p></div><div id="comments"><article><p>{PROSE} {PROSE}</p></article></div></body>'
+    assert H.main_text(page) == f"{PROSE} {PROSE}\n{PROSE} {PROSE}"

@@ -2,7 +2,8 @@
 
 The page is cut into blocks at block-level tags (and at doubled line breaks).  Blocks inside scripts, styles, forms
 and the like don't exist; blocks inside navigation, footers, sidebars, adverts, notices or comments, told
-by element, role, or the words of class and id, are decided as boilerplate at once.
+by element, role, or the words of class and id, are decided as boilerplate at once.  Words of class and id don't decide a
+wrapper that holds the page's article, or most of the prose of a page without one: it is a layout, not a part of it.
 
 First pass, over the other blocks: density of links, length and density of stop words decide a block as good or bad, or
 leave it ambiguous (short, or prose without enough evidence).  Second pass: an ambiguous block inherits the label of its nearest
@@ -82,38 +83,56 @@ def _end_of_tag(page: str, start: int) -> int:
     return -1
 
 
-def _marked(attributes: str) -> bool:
-    """Whether an element's attributes tell boilerplate or hidden content."""
+def _marked(attributes: str) -> str:
+    """What an element's attributes tell: 'hard' (a role, hidden content), 'soft' (words of class and id) or nothing."""
+    soft = ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return "hard"
         if name in ("class", "id") and not MARKS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            soft = "soft"
+    return soft
 
 
 def blocks(page: str) -> list[Block]:
+    found, layouts = _blocks(page, frozenset())
+    return _blocks(page, layouts)[0] if layouts else found
+
+
+def _blocks(page: str, layouts: frozenset[int]) -> tuple[list[Block], frozenset[int]]:
+    """The blocks, where some marked elements (by number) are layouts; and which ones are, told from this reading."""
     found: list[Block] = []
     parts: list[str] = []
     linked = at = articles = breaks = 0
-    # Open elements: name, whether it is boilerplate by itself, the article it is in.
-    stack: list[tuple[str, bool, int]] = []
+    # Open elements: name, whether it is boilerplate by itself, the article it is in, its share in the sums below.
+    stack: list[tuple[str, bool, int, tuple]] = []
     bad = inside = links = 0
+    # Marked wrappers: their number, prose and articles so far; open ones of hard boilerplate; the prose outside of all marks.
+    marks = prose = articled = clean = hard = within = 0
+    wrappers: list[tuple[int, int, int]] = []
     tag = "body"
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, prose, articled, clean
         if parts:
             text = " ".join("".join(parts).split())
             if text:
+                size = 0 if hard else max(0, len(text) - linked)
+                prose += size
+                articled += size if within else 0
+                clean += size if not bad else 0
                 found.append(Block(text, tag, linked, inside, bad > 0))
             parts.clear()
         linked = 0
 
     def pop() -> str:
-        nonlocal bad, inside, links
-        name, was, before = stack.pop()
+        nonlocal bad, inside, links, hard, within
+        name, was, before, (number, prose_before, articled_before, was_hard, was_article) = stack.pop()
+        if number:
+            wrappers.append((number, prose - prose_before, articled - articled_before))
+        hard -= was_hard
+        within -= was_article
         bad -= was
         inside = before
         links -= name == "a"
@@ -186,23 +205,36 @@ def blocks(page: str) -> list[Block]:
             pop()  # a paragraph ends where a block begins
         if name == "li" and stack and stack[-1][0] == "li":
             pop()
-        marked = _marked(page[named.end() : end]) if end > named.end() else False
+        marked = _marked(page[named.end() : end]) if end > named.end() else ""
         own = bool(name in BOILER or marked)
+        soft = marked == "soft" and name not in BOILER
         if name in ("html", "body", "article", "main") and not inside:
             own = False  # whole pages and main articles are often classed by layout
         if name == "header" and not inside:
-            own = True
-        if is_block or own or name == "a":
+            own, soft = True, False
+        soft = soft and own and not within
+        if soft:
+            marks += 1
+            own = marks not in layouts
+        if is_block or own or soft or name == "a":
             if page[end - 1] == "/" and not is_block:
                 continue
-            stack.append((name, own, inside))
+            was_hard, main = own and not soft and marked != "soft" or own and name in BOILER, name in ("article", "main") and not marked
+            stack.append((name, own, inside, (marks if soft else 0, prose, articled, was_hard, main)))
+            hard += was_hard
+            within += main
             bad += own
             links += name == "a"
             if name in ("article", "main") and not inside and not bad:
                 articles += 1
                 inside = articles
     flush()
-    return found
+    while stack:
+        pop()
+    if articles:  # all outside of the page's own articles is boilerplate
+        return found, frozenset()
+    # An article inside of a wrapper is the page's if there is not more prose outside of all marks.
+    return found, frozenset(n for n, p, a in wrappers if (a and articled >= clean) or 2 * p > prose)
 
 
 def first_pass(block: Block) -> str:
