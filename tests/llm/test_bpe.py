@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,6 +32,46 @@ def test_cuts_are_safe(text, least):
     assert [i for p in parts for i in codec().library.encode_ordinary(p)] == whole
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab1' \n\t\x1c\x85\xa0\u3000é東.,  \n "), max_size=60), st.integers(1, 9), st.integers(1, 5))
+def test_runs_of_white_space_are_cut_as_the_pattern_does(text, least, run):
+    parts = list(bpe.pieces(text, least, run))
+    assert "".join(parts) == text
+    whole = codec().library.encode_ordinary(text)
+    assert [i for p in parts for i in (codec().library._encode_single_piece(p) if bpe._WHITE.fullmatch(p) else codec().library.encode_ordinary(p))] == whole
+
+
+RUNS = (" ", "\n", "\t", "\u3000", " \n", "\r\n \t")
+
+
+@pytest.mark.parametrize("run", RUNS)
+@pytest.mark.parametrize("before,after", [("", ""), ("a", ""), ("", "x"), ("end.", "'s x"), ("1", "\x1c"), ("é ", " 東")])
+def test_long_white_space_equals_the_library(run, before, after):
+    for size in (4_095, 4_096, 4_097, 70_000):
+        text = before + (run * size)[:size] + after
+        assert codec().encode(text) == codec().library.encode_ordinary(text)
+
+
+def test_very_long_white_space_takes_time_in_proportion():
+    import time
+
+    for run in RUNS:
+        for after in ("", "x", " x" * 10):
+            text = (run * 1_000_000)[:1_000_000] + after
+            began = time.process_time()
+            ids = codec().encode(text)
+            assert time.process_time() - began < 5 and codec().decode(ids) == text.encode()
+    began = time.process_time()
+    for text in (" " * 10_000_000 + "x", "\n" * 10_000_000, "x" * 5_000_000, "a  b" * 1_000_000):
+        assert codec().decode(codec().encode(text)) == text.encode()
+    assert time.process_time() - began < 60
+
+
+def test_other_patterns_are_refused():
+    with pytest.raises(ValueError, match="boundaries"):
+        bpe.Codec(FILE, r"\p{L}+|\s*[\r\n]+|\s+(?!\S)|\s+")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text())
 def test_round_trip(text):
