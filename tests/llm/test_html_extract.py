@@ -89,3 +89,64 @@ def test_layout_wrappers_decide_nothing(mark):
 def test_comments_as_articles_stay_boilerplate():
     page = f'<body><div id="post"><p>{PROSE} {PROSE}</p><p>{PROSE} {PROSE}</p></div><div id="comments"><article><p>{PROSE} {PROSE}</p></article></div></body>'
     assert H.main_text(page) == f"{PROSE} {PROSE}\n{PROSE} {PROSE}"
+
+
+def variants(page: str) -> dict[str, str]:
+    """The page with its article element replaced by elements that say nothing."""
+    plain = page.replace("<article>", "<div>").replace("</article>", "</div>")
+    return {"div": plain, "gone": page.replace("<article>", "").replace("</article>", ""), "deep": plain.replace("<div>", '<div id="x"><section><div>').replace("<nav>", "<div>").replace("</nav>", "</div>")}
+
+
+def test_the_rules_carry_pages_without_an_article_element(spark):
+    from collections import Counter
+
+    for name in ("div", "gone", "deep"):
+        want = got = kept = 0
+        for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect():
+            lines, told = article(r["html"]).split("\n"), H.main_text(variants(r["html"])[name]).split("\n")
+            want, got, kept = want + len(lines), got + len(told), kept + sum((Counter(lines) & Counter(told)).values())
+        assert kept >= 0.98 * want and kept >= 0.98 * got, name
+
+
+@pytest.mark.parametrize("inline", ["<button>Share this now</button>", "<label>Your name</label>", "<span class='advert'>Buy <span>this</span> now</span>", '<a class="share-links" href="x">Share</a>', "<em hidden>x</em>"])
+def test_inline_boilerplate_leaves_its_block(inline):
+    assert H.main_text(f"<article><p>One {inline} two.</p>{inline}<p>Three.{inline}</p></article>") == "One two.\nThree."
+
+
+def test_classes_are_matched_as_a_whole():
+    for mark in ("social-history", "advice", "reply-to-critics", "navigational", "no-banner"):
+        assert H.main_text(f"<article><p>One.</p><p class='{mark}'>Two.</p><div id='{mark}'>Three.</div></article>") == "One.\nTwo.\nThree."
+    for mark in ("social", "post ad", "cookie_notice", "sidebar-right", "comments-list", "newsletter-signup-form"):
+        assert H.main_text(f"<article><p>One.</p><p class='{mark}'>Two.</p><div id='{mark.split()[-1]}'>Three.</div></article>") == "One."
+
+
+def test_tags_end_where_their_attributes_say():
+    for tag in ("<a href='x' title=\"a > b\">", '<a data-x = "a>b">', "<a title='1 > 0' data-y=a\"b>", '<a href=x/ alt="</a>" >', "<a\ntitle=\n'>'\n>"):
+        assert H.main_text(f"<article><p>{tag}T</a> and words.</p></article>") == "T and words."
+    assert H.main_text('<article><p title="1 > 0 ' + "x" * 70_000 + '">Yes.</p></article>') == "Yes."
+
+
+def test_stray_tags_take_time_in_proportion():
+    import time
+
+    for page in ("<div>" * 20_000 + "</b>" * 20_000, "<div>x" * 20_000 + "</p>" * 20_000, "<a>" * 20_000 + "<p></p>" * 20_000, "<head>" * 20_000, "<svg>" * 20_000, "<div>" * 20_000 + f"<p>{PROSE}</p>" * 2000, "<span class=ad>" * 20_000 + "x", "<p a='" * 20_000 + '"'):
+        began = time.process_time()
+        H.main_text(page)
+        assert time.process_time() - began < 2, page[:20]
+
+
+def test_neighbours_of_the_same_element_are_nearest():
+    page = f"""<body><div>My site.</div><p>Posted by me</p><div><h1>Title</h1><p>Short.</p><p>{PROSE} {PROSE}</p><ul><li><a href="a">a link</a><li><a href="b">another</a></ul><p>Two words</p></div><p>Powered by it</p></body>"""
+    assert H.main_text(page) == f"Title\nShort.\n{PROSE} {PROSE}\nTwo words"
+
+
+def test_prose_beside_an_article_must_be_longer():
+    inner = f"<article><h1>T</h1><p>{PROSE} {PROSE}</p></article>"
+    assert H.main_text(f"<body>{inner}<div><p>{PROSE} {PROSE}</p></div></body>") == f"T\n{PROSE} {PROSE}"
+    long = " ".join([PROSE] * 6)
+    assert H.main_text(f"<body><article class='card'><p>Teaser.</p></article><div><p>{long}</p></div></body>").endswith(long)
+
+
+def test_languages_without_stop_words():
+    text = "東京は日本の首都である。" * 40
+    assert H.main_text(f"<body><ul><li><a href='x'>家</a></ul><div><h1>題</h1><p>{text}</p><p>短い。</p></div><footer>x</footer></body>") == f"題\n{text}\n短い。"
