@@ -103,3 +103,76 @@ def test_groups_of_copies_lose_nothing(spark):
 def test_a_document_counts_once(spark):
     found = P.mentions("quaxil a1b me@example.org or quaxil b2c me@example.org", window=2)
     assert sum(n for _, w, _, n in found if w == "quaxil") == 1 and len({c for _, w, c, _ in found if w == "quaxil"}) == 2
+
+
+def plain_disclosing(texts: list[str], window: int = P.WINDOW, alpha: float = P.ALPHA, threshold: float = P.THRESHOLD) -> dict[str, str]:
+    """The module's definition over all pairs of a term and an entity, with sets of documents."""
+    import math
+    import re
+    from collections import defaultdict
+
+    holds, stands, near, contexts = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, text in enumerate(texts):
+        base = brute.personal_spans(text)
+        inside = {x for _, a, b in base for x in range(a, b)}
+        words = [(m[0].lower(), m.start()) for m in re.finditer(r"[^\W_]+", text) if len(m[0]) > 1 and not m[0].isdigit() and inside.isdisjoint(range(m.start(), m.end()))]
+        for w, _ in words:
+            holds[w].add(i)
+        for kind, a, b in base:
+            value = text[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])
+            around = [w for w, at in words if at < a][-window:] + [w for w, at in words if at >= a][:window]
+            for e in (f"{kind}:{value}", f"{kind}:"):
+                stands[e].add(i)
+                for w in around:
+                    near[w, e].add(i)
+                    contexts[w, e].add(tuple(around))
+    found, n = defaultdict(set), len(texts)
+    for (w, e), both in near.items():
+        p, q = len(both) / len(holds[w]), (len(stands[e]) / n) ** (1 - threshold)
+        share = 1 - math.log(p) / math.log(len(stands[e]) / n) if len(stands[e]) < n else 0
+        if share >= threshold:  # p >= q, in other words
+            kl = p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)
+            if len(contexts[w, e]) / p * kl >= math.log(1 / alpha):
+                found[w].add(e.split(":")[0])
+    return {w: kinds.pop() if len(kinds) == 1 else "any" for w, kinds in found.items()}
+
+
+def planted(spark, copies: int = 1):
+    """The documents of sf0.01 with sixty names planted: some always near one address, some always near ever new ones, some anywhere."""
+    drawn = random.Random(11)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    words = [w for t in texts[:50] for w in t.split() if w.isalpha()]
+    some = lambda k: " ".join(drawn.choice(words) for _ in range(k))
+    guilty = []
+    for i in range(40):
+        name, kind = f"zo{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'uvwx'[i // 26]}x", i % 2
+        guilty.append(name)
+        for k in range(6 if kind else 12):
+            value = f"{name}@example.org" if kind else f"+1 (555) {100 + i}-{1000 + k}"
+            texts.append(f"{some(20)} {name} {some(2)} {value} {some(20)}")
+        if kind:
+            texts.append(f"{some(20)} {name} {some(20)}")
+    for i in range(20):
+        texts += [f"{some(30)} ki{'abcdefghijklmnopqrst'[i]}q {some(30)}" for _ in range(6)]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts * copies)], "doc_id long, text string"), texts * copies, set(guilty)
+
+
+def test_whole_table_with_planted_names_equals_brute_force(spark):
+    df, texts, guilty = planted(spark)
+    told = {r["term"]: r["kind"] for r in P.disclosing(df).collect()}
+    assert told == plain_disclosing(texts)
+    assert guilty <= told.keys() and len(told) <= 1.1 * len(guilty)  # recall 1; precision
+    again, _, _ = planted(spark, 5)
+    assert {r["term"]: r["kind"] for r in P.disclosing(again).collect()} == told
+
+
+def test_repeated_corpora_disclose_the_same(spark):
+    df = corpus(spark)
+    again = df.unionAll(df).unionAll(df).unionAll(df).unionAll(df)
+    assert {r["term"]: r["kind"] for r in P.disclosing(again).collect()} == {r["term"]: r["kind"] for r in P.disclosing(df).collect()} == {"zorblax": "email"}
+
+
+def test_kinds_disclose_where_values_are_rare(spark):
+    rows = [(i, f"some word number {i} of the text") for i in range(2000)] + [(5000 + i, f"write {'abcdefgh'[i]}x to quaxil at you{i}@example.org about {'abcdefgh'[i]}y") for i in range(8)]
+    told = {r["term"]: r["kind"] for r in P.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert told["quaxil"] == "email" and "of" not in told

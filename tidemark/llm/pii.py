@@ -1,6 +1,7 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give them away.
 
-Protected entities are the values of the base patterns (email, ip, card, phone; see BASE).  The corpus tells how
+Protected entities are the values of the base patterns (email, ip, card, phone; see BASE), and each kind as a whole, through which
+values of few mentions disclose: who is always near addresses gives one away, even if no two are equal.  The corpus tells how
 strongly a term t reveals an entity e: the point-wise mutual information of their occurrence in documents,
 log2(N c(t,e) / (c(t) c(e))), as a share of the entity's whole information log2(N / c(e)).  Terms are words within
 ``window`` words of a mention.  All counts are documents, copies included; how sure the share is depends on the number of
@@ -111,8 +112,18 @@ def terms(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int,
     return found
 
 
-def mentions(text: str, window: int = WINDOW) -> list[tuple[str, str, str, int]]:
-    """(entity, term, context, n) of the terms near each entity; a context is named by its own terms. n is 1 once a pair, else 0."""
+def entities(base: list[tuple[str, int, int]], text: str) -> set[str]:
+    """The entities of a text: values, and kinds as a whole."""
+    return {entity(k, text[a:b]) for k, a, b in base} | {whole(k) for k, _, _ in base}
+
+
+def whole(kind: str) -> str:
+    """The name of a kind as a whole; no value is empty."""
+    return f"{kind}:"
+
+
+def mentions(text: str, window: int = WINDOW, kinds: bool = False) -> list[tuple[str, str, str, int]]:
+    """(entity, term, context, n) of the terms near each entity, and if asked near its kind as a whole; a context is named by its own terms. n is 1 once a pair, else 0."""
     base = base_spans(text)
     if not base:
         return []
@@ -125,20 +136,20 @@ def mentions(text: str, window: int = WINDOW) -> list[tuple[str, str, str, int]]
         i = bisect_left(starts, a)
         near = words[max(0, i - window) : i + window]
         context = hashlib.blake2b(" ".join(w[0] for w in near).encode(), digest_size=8).hexdigest()
-        name = entity(kind, text[a:b])
-        for w in {w[0] for w in near}:
-            found.append((name, w, context, int((name, w) not in met)))
-            met.add((name, w))
+        for name in (entity(kind, text[a:b]), whole(kind)) if kinds else (entity(kind, text[a:b]),):
+            for w in {w[0] for w in near}:
+                found.append((name, w, context, int((name, w) not in met)))
+                met.add((name, w))
     return found
 
 
 def disclosing(df: DataFrame, text_col: str = "text", window: int = WINDOW, alpha: float = ALPHA, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (term, kind): the terms that disclose a protected entity, and its kind ('any' if of several kinds)."""
+    """Rows (term, kind): the terms that disclose a protected entity, and its kind ('any' if of several kinds). Materialised."""
     prepare(df.sparkSession)
 
     def pairs():
         def work(texts):
-            rows = [x for t in texts for x in mentions(t or "", window)]
+            rows = [x for t in texts for x in mentions(t or "", window, kinds=True)]
             return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [], [])
 
         return work
@@ -152,7 +163,7 @@ def disclosing(df: DataFrame, text_col: str = "text", window: int = WINDOW, alph
                 base = base_spans(t)
                 if base:
                     count.update({w[0] for w in terms(t, base)})
-                    count.update({entity(k, t[a:b]) for k, a, b in base})
+                    count.update(entities(base, t))
                 else:
                     count.update({w.lower() for w in set(WORD.findall(t)) if len(w) > 1 and not w.isdigit()})
             return list(count), list(count.values())
@@ -176,7 +187,7 @@ def disclosing(df: DataFrame, text_col: str = "text", window: int = WINDOW, alph
     # KL(p || q) / p
     surprise = F.log(p / q) + F.when(p < 1, (1 - p) / p * F.log((1 - p) / (1 - q))).otherwise(0)
     told = both.filter((F.col("n_entity") < total) & (p >= q) & (F.col("contexts") * surprise >= needed)).withColumn("kind", F.substring_index("entity", ":", 1))
-    return told.groupBy("term").agg(F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("any").alias("kind"))
+    return materialise(told.groupBy("term").agg(F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("any").alias("kind")))
 
 
 def spans_of(text: str | None, known: dict[str, str]) -> tuple[list[tuple], list[tuple]]:
@@ -256,12 +267,12 @@ def find(df: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def digests(df: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
-    """One row a document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, of the spans that find() tells."""
+    """One row a document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans (all), of the spans that find() tells."""
 
     def row(text, base, added):
-        return *(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(ordered(base, [])).encode()).hexdigest(), joined(ordered(base, added)), len(added)
+        return *(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(ordered(base, [])).encode()).hexdigest(), joined(ordered(base, added)), len(added), len(base) + len(added)
 
-    return _applied(df, told, id_col, text_col, few, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", row)
+    return _applied(df, told, id_col, text_col, few, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long", row)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
