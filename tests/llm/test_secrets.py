@@ -114,3 +114,90 @@ def test_web_tokens_of_any_length(model):
     for sizes in ((17, 20, 43), (33, 60, 43), (40, 150, 86), (33, 300, 342)):
         words = ["eyJ" + ".".join("".join(drawn.choice(S.ALNUM + "_-") for _ in range(k)) for k in sizes) for _ in range(20)]
         assert sum(model.judge(w) == "jwt" for w in words) >= 18, sizes
+
+
+def plain_added(text, model):
+    """Every candidate of a text scored on its own, and the best kept: no shared suffixes, no run without a digit left out beforehand."""
+    import re
+
+    base, added = S.base_spans(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", text):
+        run, at = m[0], m.start()
+        taken = [(a, b) for _, a, b, _ in base]
+
+        def told(a, b, names, run=run):
+            word = run[a:b]
+            if len(word) < 16 or not any(map(str.isdigit, word)) or not any(map(str.isalpha, word)):
+                return None
+            score, name = max((model.formats[n].score(word), n) for n in names if n in model.formats and len(word) >= model.shortest[n])
+            plain = model.background.score(word)
+            return ((score - plain) * (len(word) + 1), a, b, name) if score >= model.floor[name] and score - plain >= S.RATIO else None
+
+        begins = [i for i in range(1, len(run)) if run[i - 1] in "=/._-" and run[i] not in "=/._-"]
+        end = len(run.rstrip(".=-"))
+        others = [(i, end, model.formats) for i in begins]
+        for piece in re.finditer("[^=/]+", run):
+            if piece.end() < len(run):
+                stop = piece.start() + len(piece[0].rstrip(".=-"))
+                others += [(i, stop, model.formats) for i in sorted({piece.start(), *(b for b in begins if piece.start() < b < piece.end())})]
+        own = []
+        for name, prefixes, alphabet, _, separator in S.FORMATS:
+            inside = 0
+            while (starts := [run.find(p, inside) for p in prefixes if run.find(p, inside) >= 0]) :
+                a = min(starts)
+                b = a + len(next(p for p in prefixes if run.startswith(p, a)))
+                while b < len(run) and run[b] in alphabet + separator:
+                    b += 1
+                stop = a + len(run[a:b].rstrip(".=-"))
+                own += [(i, stop, [name]) for i in range(a, b) if any(run.startswith(p, i) and i + len(p) <= b for p in prefixes)]
+                inside = b
+        best = lambda found: sorted((x for x in (told(*f) for f in found) if x), key=lambda x: (-x[0], x[1], x[2] - x[1], x[3]))
+        whole = []
+        word = run.rstrip(".=-")
+        if len(word) >= 16 and word[0] != "." and (x := told(0, len(word), model.formats)) and not any(a < at + len(word) and at < b for a, b in taken):
+            whole = [x]
+        for _, a, b, name in best(own) + whole + best(others):
+            if not any(x < at + b and at + a < y for x, y in taken):
+                taken.append((at + a, at + b))
+                added.append((f"fmt_{name}", at + a, at + b))
+    return sorted(added, key=lambda s: s[1])
+
+
+def planted_secrets(drawn):
+    """(text, secret) of every format, in several surroundings."""
+    for name, words in S.made_examples(6).items():
+        for word in words:
+            for around in ("see {} now", "GH_PAT={}", "https://host/?key={}&x=1", "x/{}/info", "a.{}."):
+                yield around.format(word), word
+
+
+def test_every_candidate_is_scored(model, spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts += [t for t, _ in planted_secrets(random.Random(2))] + ["v1/docs/api-2024.11.26_release=notes/index2.html and user_profile_settings_2024"]
+    found = 0
+    for text in texts:
+        added = [x[:3] for x in S.scan(text, model)[1]]
+        assert added == plain_added(text, model), text[:200]
+        found += len(added)
+    assert found >= 0.95 * 9 * 6 * 5  # nine formats beside the base patterns
+
+
+def test_clean_documents_stay_clean(model, spark):
+    added = [text[a:b] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect() if (text := r["text"]) for _, a, b, _ in S.scan(text, model)[1]]
+    assert added == []
+
+
+def test_more_published_formats(model):
+    drawn = random.Random(12)
+    body = lambda n, of=S.ALNUM: "".join(drawn.choice(of) for _ in range(n - 1)) + "7"
+    for name, secret in {"githubpat": f"github_pat_{body(22)}_{body(59)}", "sendgrid": f"SG.{body(22)}.{body(43)}"}.items():
+        for text in (f"a {secret} b", f"KEY={secret}"):
+            assert (f"fmt_{name}", secret) in [(k, text[a:b]) for k, a, b, _ in S.scan(text, model)[1]], text
+
+
+def test_the_sample_has_no_prefixes(spark):
+    long = "ab0" * 100
+    df = spark.createDataFrame([(f"password={long} token={'q7' * 10}{'abcdefghij'[i % 10]}{i:03}",) for i in range(60)], "text string")
+    examples = S.train(df).examples["assign"]
+    assert len(examples) == 60 and not any(long.startswith(w) for w in examples)
+    assert len(S.train(df, bound=30).examples["assign"]) == 30

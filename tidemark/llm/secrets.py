@@ -10,8 +10,11 @@ credential characters; and their parts: from every separator to the end of the r
 the next ``=`` or ``/``, and from every format's first characters to the end of that format's own characters.  Of the parts that
 pass, those with the most evidence (nats above the background) are kept, without overlap.
 
+Candidates have ``LEAST_RUN`` characters or more, among them a letter and a digit.
+
 Labelled examples: credentials made by the published rules of some formats, and the values that the base patterns find in
-the corpus (at most ``bound`` different ones, the least by hash).
+the corpus: a sample of at most ``bound`` different ones of a kind, those of least hash among the values of at most ``longest`` characters.
+Ordinary tokens are candidates and ASCII words of ``word`` characters or more, sampled likewise.  Scanning has no such bounds.
 
 Base spans (kept in any case, leftmost and non-overlapping per kind): assign, access, hex; see BASE.  Added spans
 have the kind ``fmt_`` and the format, and never overlap a base span.
@@ -27,11 +30,11 @@ import math
 import random
 import re
 import string
-import zlib
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import map_columns, materialise, prepare, read
 
@@ -48,10 +51,12 @@ ALNUM = string.ascii_letters + string.digits
 FORMATS = (
     ("access", ("AKIA",), string.ascii_uppercase + string.digits, (16,), ""),
     ("github", ("ghp_", "gho_", "ghs_"), ALNUM, (36,), ""),
+    ("githubpat", ("github_pat_",), ALNUM, (22, 59), "_"),
     ("gitlab", ("glpat-",), ALNUM + "_-", (20,), ""),
     ("google", ("AIza",), ALNUM + "_-", (35,), ""),
     ("jwt", ("eyJ",), ALNUM + "_-", (33, 80, 43), "."),
     ("npm", ("npm_",), ALNUM, (36,), ""),
+    ("sendgrid", ("SG.",), ALNUM + "_-", (22, 43), "."),
     ("slack", ("xoxb-", "xoxp-"), string.digits, (12, 12), "-"),
     ("stripe", ("sk_live_", "rk_live_"), ALNUM, (24,), ""),
 )
@@ -60,13 +65,15 @@ FORMATS = (
 RANGES = {"gitlab": ((20, 50),), "jwt": ((17, 60), (20, 200), (43, 86)), "slack": ((10, 13), (10, 13)), "stripe": ((24, 99),)}
 
 #: Candidates are whole runs of these characters; a run of hexadecimal digits is always inside of one.
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST_RUN = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_RUN},}}")
 #: A part begins after any separator or at a format's first characters, and ends with the run, before = or /, or with the format's own characters.
-PART_START, PIECE = re.compile(r"(?<=[=/._-])[^=/._-]"), re.compile(r"[^=/]{16,}")
+PART_START, PIECE = re.compile(r"(?<=[=/._-])[^=/._-]"), re.compile(rf"[^=/]{{{LEAST_RUN},}}")
 OWN = {name: re.compile(f"(?:{'|'.join(map(re.escape, prefixes))})[{re.escape(alphabet + separator)}]*") for name, prefixes, alphabet, _, separator in FORMATS}
 FIRST = {name: re.compile("|".join(map(re.escape, prefixes))) for name, prefixes, _, _, _ in FORMATS}
 KEYWORDS = ("token", "secret", "passw", "apikey", "api_key")
-BOUND, EXAMPLES = 400, 150
+#: Values of a kind that come to the driver for training, the longest of them, characters of an ordinary word at least; made examples of a format.
+BOUND, LONGEST, LONG_WORD, EXAMPLES = 400, 200, 10, 150
 #: Confidence of the compatibility test; nats a character by which a format must beat the background; slack below the examples' range.
 ALPHA, RATIO, SLACK = 0.05, 0.6, 0.35
 
@@ -100,11 +107,11 @@ class Automaton:
         self._freeze()
         return self
 
-    def _compatible(self, a: int, b: int, alpha: float, depth: int = 24) -> bool:
-        """Whether the class frequencies of two states, and of what follows them, differ by no more than chance."""
-        pending = [(a, b, depth)]
+    def _compatible(self, a: int, b: int, alpha: float) -> bool:
+        """Whether the class frequencies of two states, and of all that follows them, differ by no more than chance."""
+        pending = [(a, b)]
         while pending:
-            a, b, left = pending.pop()
+            a, b = pending.pop()
             ca, cb = self.counts[a], self.counts[b]
             na, nb = sum(ca.values()), sum(cb.values())
             if not na or not nb:
@@ -120,14 +127,13 @@ class Automaton:
             # a character that one state takes always and the other hardly ever
             if any(abs(ca.get(c, 0) / na - cb.get(c, 0) / nb) > bound for c in ca.keys() | cb.keys()):
                 return False
-            if left:
-                pending += [(self.to[a][c], self.to[b][c], left - 1) for c in self.to[a].keys() & self.to[b].keys()]
+            pending += [(self.to[a][c], self.to[b][c]) for c in self.to[a].keys() & self.to[b].keys()]
         return True
 
     def _likelihood(self, red: int, blue: int) -> float:
         """Mean log likelihood of blue's suffixes (along its tree) under the classes' frequencies at and after red."""
         total, n, pending = 0.0, 0, [(red, blue)]
-        while pending and n < 400:
+        while pending:
             a, b = pending.pop()
             ca = self.counts[a]
             size = sum(ca.values())
@@ -229,8 +235,11 @@ def made_examples(n: int = EXAMPLES) -> dict[str, list[str]]:
 
 
 class Model:
-    def __init__(self, formats: dict[str, list[str]], ordinary: list[str]):
-        self.formats = {name: Automaton.infer(words) for name, words in sorted(formats.items()) if len(words) >= 20}
+    def __init__(self, formats: dict[str, list[str]], ordinary: list[str], like: Model | None = None):
+        """like: a model whose automata of equal examples are taken over."""
+        self.examples = formats
+        same = {name for name, words in formats.items() if like and like.examples.get(name) == words}
+        self.formats = {name: like.formats[name] if name in same else Automaton.infer(words) for name, words in sorted(formats.items()) if len(words) >= 20}
         self.background = Automaton.infer(ordinary) if len(ordinary) >= 20 else None
         self.floor, self.shortest = {}, {}
         for name, automaton in self.formats.items():
@@ -272,7 +281,7 @@ class Model:
             word = run[a:b].rstrip(".=-")
             last = max((i for i, c in enumerate(word) if c.isdigit()), default=-1)
             letter = max((i for i, c in enumerate(word) if c.isalpha()), default=-1)
-            starts = [s - a for s in starts if s - a <= min(last, letter) and len(word) - (s - a) >= 16]
+            starts = [s - a for s in starts if s - a <= min(last, letter) and len(word) - (s - a) >= LEAST_RUN]
             if starts:
                 found.extend((e, a + s, a + s + size, name) for e, s, size, name in self._suffixes(word, starts, names))
 
@@ -312,7 +321,7 @@ def candidates(runs: list[re.Match], taken: list[tuple]) -> list[tuple[int, int,
     found = []
     for m in runs:
         word = m[0].rstrip(".=-") if m[0][-1] in ".-" else m[0]
-        if len(word) < 16 or word[0] == "." or word.isalpha() or not any(map(str.isdigit, word)) or not any(map(str.isalpha, word)):
+        if len(word) < LEAST_RUN or word[0] == "." or word.isalpha() or not any(map(str.isdigit, word)) or not any(map(str.isalpha, word)):
             continue
         start, end = m.start(), m.start() + len(word)
         if not any(s[1] < end and start < s[2] for s in taken):
@@ -348,36 +357,43 @@ def all_spans(base: list[tuple], added: list[tuple]) -> list[tuple]:
     return sorted(base + added, key=lambda s: (s[1], BASE.index(s[0]) if s[0] in BASE else len(BASE), s[0]))
 
 
-def train(df: DataFrame, bound: int = BOUND, text_col: str = "text") -> Model:
-    """Infers the automata; at most bound values a kind (and bound ordinary tokens) come to the driver, those of least hash.
+def train(df: DataFrame, bound: int = BOUND, longest: int = LONGEST, word: int = LONG_WORD, text_col: str = "text") -> Model:
+    """Infers the automata from a sample: at most bound values a kind (and bound ordinary tokens, bound words) come to the driver.
 
-    One pass over the texts: every batch keeps its least values of each kind, among which the least of all are.
+    They are those of least hash among all of the corpus with at most longest characters.  One pass over the texts: every batch keeps
+    its least values of each kind, among which the least of all are.
     """
     prepare(df.sparkSession)
 
     def make():
         def work(texts):
             found: dict[str, set[tuple[int, str]]] = defaultdict(set)
+            limit: dict[str, int] = defaultdict(lambda: 1 << 64)  # what can't be among the least any more
+
+            def add(kind: str, values) -> None:
+                some, top = found[kind], limit[kind]
+                some.update(x for w in values if len(w) <= longest and (x := (hash_of(w), w))[0] < top)
+                if len(some) > 8 * bound:
+                    found[kind] = set(sorted(some)[:bound])
+                    limit[kind] = max(found[kind])[0] + 1
+
             for text in texts:
                 runs = list(RUN.finditer(text or ""))
                 base = base_spans(text or "", runs)
                 for kind, _, end, at in base:
-                    found[kind].add((hash_of(text[at:end]), text[at:end][:200]))
-                found["ordinary"].update((hash_of(w), w[:200]) for _, _, w in candidates(runs, base))
-                # long words stand for ordinary tokens where tokens with digits are rare; a 64th of them, by checksum
-                found["word"].update((hash_of(w), w) for w in set((text or "").split()) if 10 <= len(w) <= 200 and w.isascii() and w.isalnum() and not zlib.crc32(w.encode()) & 63)
-                for kind, some in found.items():
-                    if len(some) > 8 * bound:
-                        found[kind] = set(sorted(some)[:bound])
-            rows = [(kind, word, digest) for kind, some in found.items() for digest, word in sorted(some)[:bound]]
+                    add(kind, [text[at:end]])
+                add("ordinary", [w for _, _, w in candidates(runs, base)])
+                # long words stand for ordinary tokens where tokens with digits are rare
+                add("word", {w for w in (text or "").split() if len(w) >= word and w.isascii() and w.isalnum()})
+            rows = [(kind, value, str(digest)) for kind, some in found.items() for digest, value in sorted(some)[:bound]]
             return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [])
 
         return work
 
-    found = materialise(map_columns(df, [text_col], "kind string, word string, digest long", make).distinct())
+    found = materialise(map_columns(df, [text_col], "kind string, word string, digest string", make).distinct())
     by: dict[str, list[str]] = defaultdict(list)
     for kind in (*BASE, "ordinary", "word"):
-        some = found.filter(F.col("kind") == kind).orderBy("digest", "word").limit(bound)
+        some = found.filter(F.col("kind") == kind).orderBy(F.col("digest").cast("decimal(20,0)"), "word").limit(bound)
         by[kind] = [r["word"] for r in some.select("word").collect()]
     formats = made_examples()
     formats["access"] += [w for w in by["access"] if set(w) <= _CLASS.keys()]
@@ -386,11 +402,11 @@ def train(df: DataFrame, bound: int = BOUND, text_col: str = "text") -> Model:
     # an ordinary token that a published format explains isn't evidence for the background
     shapes = Model({k: v for k, v in formats.items() if k not in ("hex", "assign")}, [])
     ordinary = [w for w in by["ordinary"] if shapes.judge(w) is None] + by["word"]
-    return Model({k: [w for w in v if set(w) <= _CLASS.keys()] for k, v in formats.items()}, [w for w in ordinary if set(w) <= _CLASS.keys()])
+    return Model({k: [w for w in v if set(w) <= _CLASS.keys()] for k, v in formats.items()}, [w for w in ordinary if set(w) <= _CLASS.keys()], shapes)
 
 
 def hash_of(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=7).digest(), "big")
+    return xxh64_intdigest(word.encode())
 
 
 def find(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
