@@ -8,9 +8,9 @@ Cholesky factors, and log determinants) and the log ratio of the class sizes, ov
 and temperature are chosen by three-fold cross-validation on the training rows.
 
 Training rows: at most ``bound`` labelled documents, the least by a hash of the id.  The statistics are taken on the
-executors; the driver fits 2 classes of some twenty numbers.
+executors; the driver fits 2 classes of some twenty numbers.  Equal rows of a document (its id repeated with the same text) count once.
 
-Edge cases: null texts count as empty; a text without a word scores 0.  Labels other than 0 and 1 and null labels
+Edge cases: null texts count as empty; texts without a word have the same statistics and are scored like all others.  Labels other than 0 and 1 and null labels
 aren't learned from.  Without any usable label every other score is 0.5; if all labels are equal, it is that label.
 Several labels of a document are all learned from.
 """
@@ -66,7 +66,7 @@ def statistics(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """centre, scale, low and high are of the statistics; of each class: log prior, mean and Cholesky factor."""
+    """centre, scale, low and high are of the statistics; of each class: log prior, mean, Cholesky factor and the factor's inverse."""
 
     low: np.ndarray
     high: np.ndarray
@@ -75,15 +75,18 @@ class Model:
     prior: np.ndarray
     means: np.ndarray
     factors: np.ndarray
+    inverses: np.ndarray
     temperature: float = 1.0
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         """Difference of the classes' log densities and priors."""
         z = (np.clip(x, self.low, self.high) - self.centre) / self.scale
         density = []
-        for prior, mean, factor in zip(self.prior, self.means, self.factors, strict=True):
-            half = np.linalg.solve(factor, (z - mean).T)  # factor is lower triangular
-            density.append(prior - 0.5 * (half**2).sum(axis=0) - np.log(np.diag(factor)).sum())
+        for prior, mean, factor, inverse in zip(self.prior, self.means, self.factors, self.inverses, strict=True):
+            half = np.zeros_like(z)
+            for column, part in zip((z - mean).T, inverse.T, strict=True):  # not a matrix product, whose last digits depend on the rows beside
+                half += column[:, None] * part
+            density.append(prior - 0.5 * (half**2).sum(axis=1) - np.log(np.diag(factor)).sum())
         return (density[1] - density[0]) / self.temperature
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -106,7 +109,7 @@ class Model:
             mixed = (1 - ridge) * mixed + ridge * np.trace(mixed) / len(mixed) * np.eye(len(mixed)) + 1e-9 * np.eye(len(mixed))
             factors.append(np.linalg.cholesky(mixed))
         prior = np.log([len(g) / len(z) for g in groups])
-        return cls(low, high, centre, scale, prior, means, np.array(factors))
+        return cls(low, high, centre, scale, prior, means, np.array(factors), np.linalg.inv(factors))
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, folds: int = 3) -> Model:
@@ -140,8 +143,8 @@ def train(df: DataFrame, labels: DataFrame, allowed: Column | None = None, bound
     def make():
         return lambda keys, y, texts: (keys, y, [statistics(t).tolist() for t in texts])
 
-    found = map_columns(rows, ["drawn", "y", "text"], "drawn long, y int, x array<double>", make).collect()  # at most bound rows, and repeats of their ids
-    found = sorted((r["drawn"], r["y"], r["x"]) for r in found)[:bound]
+    found = map_columns(rows, ["drawn", "y", "text"], "drawn long, y int, x array<double>", make).distinct().orderBy("drawn", "y", "x").limit(bound).collect()
+    found = sorted((r["drawn"], r["y"], r["x"]) for r in found)
     x, y = np.array([r[2] for r in found]), np.array([r[1] for r in found], np.int64)
     counts = np.bincount(y, minlength=2)
     if min(counts) < 2:
@@ -163,9 +166,9 @@ def classify(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_c
 
 
 def score_texts(texts: list[str | None], model: Model | float) -> list[float]:
-    x = np.array([statistics(t) for t in texts])
-    told = np.full(len(x), model) if isinstance(model, float) else model.score(x)
-    return np.where(x.any(axis=1), told, 0.0).tolist()
+    if isinstance(model, float):
+        return [model] * len(texts)
+    return model.score(np.array([statistics(t) for t in texts])).tolist() if texts else []
 
 
 def keep(df: DataFrame, model: Model | float, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
