@@ -60,3 +60,62 @@ def test_edges(spark, odd, empty):
     one = odd.filter("lang = 'en'")
     assert {(r["lang_pred"], r["score"]) for r in L.identify(one.filter("doc_id = 5"), L.train(one)).collect()} == {("en", 1.0)}
     assert L.identify(empty, model).count() == 0
+
+
+def test_whole_table_equals_plain_decoding(spark):
+    """Every prediction by its definition: trigrams counted one by one, each bit's margin, each codeword's weighted loss."""
+    import math
+    from collections import Counter
+
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = L.train(docs, trainable())
+    got = {r["doc_id"]: r for r in L.query(spark, path).collect()}
+    for r in docs.collect():
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in (r["text"] or "").lower().encode())
+        raw = b" " + b" ".join(raw.split()) + b" "
+        have = got[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (have["lang_pred"], have["score"]) == ("und", 0.0)
+            continue
+        grams = Counter(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % (1 << 32)) >> 20 for i in range(len(raw) - 2))
+        n = sum(grams.values())
+        margins = [sum(math.sqrt(k / n) * model.weights[g, bit] for g, k in grams.items()) for bit in range(model.code.shape[1])]
+        losses = [sum(t * math.log1p(math.exp(-4 * m * c)) for m, c, t in zip(margins, word, trust, strict=True)) for word, trust in zip(model.code.tolist(), model.trust, strict=True)]
+        soft = [math.exp(-model.scale * (x - min(losses))) for x in losses]
+        order = sorted(losses)
+        if order[1] - order[0] > 1e-4:
+            assert have["lang_pred"] == model.languages[losses.index(order[0])]
+        assert abs(have["score"] - max(soft) / sum(soft)) < 1e-2
+        if abs(order[1] - order[0] - L.MARGIN * model.gap) > 1e-4:
+            assert have["ambiguous"] == (order[1] - order[0] < L.MARGIN * model.gap)
+
+
+def test_fit_equals_refitting_without_each_text():
+    """Weights by the normal equations; a language's trust by really leaving each of its texts out."""
+    drawn = np.random.default_rng(4)
+    texts = [(s, " ".join("".join(drawn.choice(list(a), 4)) for _ in range(12))) for s, a in (("aa", "abcdef"), ("bb", "defghi"), ("cc", "ghiabc")) for _ in range(8)]
+    x, names = np.array([L.counts(t) for _, t in texts]), [s for s, _ in texts]
+    model = L.Model.fit(x, names)
+    rows = np.sqrt(x / x.sum(axis=1, keepdims=True)).astype(np.float32).astype(float)
+    rows = rows[:, x.any(axis=0)]  # the other weights are zero
+    y = np.array([model.code[model.languages.index(s)] for s in names], float)
+
+    def solved(some):
+        return np.linalg.solve(rows[some].T @ rows[some] + L.RIDGE * np.eye(rows.shape[1]), rows[some].T @ y[some])
+
+    every = np.arange(len(rows))
+    assert np.allclose(model.weights[x.any(axis=0)], solved(every), atol=1e-8) and not model.weights[~x.any(axis=0)].any()
+    right = np.array([np.sign(rows[i] @ solved(every != i)) == y[i] for i in every])
+    trust = np.array([right[[s == k for s in names]].mean(axis=0) for k in model.languages])
+    assert np.allclose(model.trust, trust / trust.sum(axis=1, keepdims=True))
+
+
+def test_the_sample_is_bounded_in_all(spark, monkeypatch):
+    monkeypatch.setattr(L, "IN_ALL", 60)
+    rows = [(i, f"words of language number {i % 50} and {i}", f"l{i % 50:02}") for i in range(2000)]
+    seen = []
+    fit = L.Model.fit.__func__
+    monkeypatch.setattr(L.Model, "fit", classmethod(lambda cls, x, names: seen.append(len(names)) or fit(cls, x, names)))
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 50 and seen == [50]

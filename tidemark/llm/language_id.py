@@ -9,7 +9,7 @@ wins; a text is flagged ambiguous if the second nearest codeword is not much far
 Up to seven languages get the exhaustive code (all splits of the languages in two); more get that many columns
 drawn by a fixed rule, at least fifteen and ten times the logarithm of their number, all different.
 
-Training rows: at most ``per_language`` texts of each language (and about 6000 in all), the least by a hash of id and text, so the
+Training rows: at most ``per_language`` texts of each language (and 6000 in all, but one of each language), the least by a hash of id and text, so the
 sample doesn't depend on partitions.  They are counted on the executors; only their trigram counts reach the driver.
 
 Edge cases: null texts and texts without a letter get ``und`` with score 0, and so do all texts when nothing could
@@ -32,7 +32,7 @@ from .common import held_out, map_columns, read, trainable
 #: Trigram hash buckets, training texts a language, ridge penalty, share of the usual gap to the second codeword below which a text is
 #: ambiguous.
 BUCKETS, PER_LANGUAGE, RIDGE, MARGIN = 4096, 400, 0.05, 0.4
-#: Training texts in all, about: with many languages each has fewer, but ten at least.
+#: Training texts in all: with many languages each has fewer, but one at least.
 IN_ALL = 6000
 UNDETERMINED = "und"
 # Bytes that are no part of a letter in UTF-8 become blanks.
@@ -148,7 +148,7 @@ def train(df: DataFrame, allowed: Column | None = None, per_language: int = PER_
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return None
-    per_language = max(10, min(per_language, IN_ALL // len(sizes)))
+    per_language = max(1, min(per_language, IN_ALL // len(sizes)))
     # A row is drawn if its hash is below its language's share; twice the bound, so that enough remain.
     share = F.create_map(*(x for s, n in sizes.items() for x in (F.lit(s), F.lit(min(1.0, 2 * per_language / n + 20 / n)))))
     drawn = F.xxhash64(F.lit(1), F.coalesce(F.col("id").cast("string"), F.lit("")), "text")
