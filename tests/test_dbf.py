@@ -70,6 +70,36 @@ def test_text_import(spark, tmp_path):
     assert tuple(rows[1])[:4] == ("", 0.0, None, False)
 
 
+def test_text_files_are_numbered_one_after_the_other(spark, tmp_path):
+    """Whatever their sizes, and though a task reads several, or only part of one."""
+    want = []
+    for name, n in (("a", 3), ("b", 2000), ("c", 0), ("d", 1), ("e", 700)):
+        lines = [f"{name}{i:04}" for i in range(n)]
+        (tmp_path / f"{name}.txt").write_text("".join(f"{x}\n" for x in lines))
+        want += lines
+    for size in ("128m", "1000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            t = import_text(spark, str(tmp_path), [FieldInfo("C", "C", 5)], "x")
+            assert [r["C"] for r in t.df.orderBy("_recno").collect()] == want
+            assert sorted(r["_recno"] for r in t.df.collect()) == list(range(1, len(want) + 1))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+
+
+def test_shared_folders_are_required_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tidemark.errors import EngineError
+    from tidemark.plans.storage import shared_dir
+
+    unset = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077", _jsc=SimpleNamespace(sc=lambda: unset)))
+    with pytest.raises(EngineError, match="shared"):
+        shared_dir(cluster)
+    assert shared_dir(spark)
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_streams_take_filters_and_lookups(spark, tmp_path, n):
     from tidemark.operators.relation import Relation

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import dml
 from ..operators.table import DELETED, RECNO, Tag
+from ..plans.storage import new_folder
 from ..sources import files
 from ..types import FieldInfo
 from .registry import query, table
@@ -17,10 +16,7 @@ NATIONS = "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY
 
 
 def folder(spark) -> str:
-    """A new path in the shared folder."""
-    import tempfile
-
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/table-{uuid.uuid4().hex}"
+    return new_folder(spark, "table")
 
 
 def nation(spark, sf_dir):
@@ -169,15 +165,9 @@ def snk_text(spark, sf_dir):
     return t.df.select("n_nationkey", "n_name", "n_regionkey")
 
 
-@query("snk_memofile", "SELECT doc_id, length(text) AS n FROM documents WHERE doc_id < 20")
+@query("snk_memofile", "SELECT doc_id, length(text) AS n FROM documents")
 def snk_memofile(spark, sf_dir):
     """Memos written to files, one each, and read back whole."""
-    return _through_files(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 20"))
-
-
-@query("snk_memofile_all", "SELECT doc_id, length(text) AS n FROM documents")
-def snk_memofile_all(spark, sf_dir):
-    """The same of all memos."""
     return _through_files(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

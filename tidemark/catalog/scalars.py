@@ -186,18 +186,8 @@ def surf_copy(spark, sf_dir):
     return out.df.select("o_orderkey", F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
 
 
-@query("surf_memo", "SELECT doc_id, length(text) AS n, substr(text, 11, 20) AS part, text || '!' AS assigned FROM documents WHERE doc_id < 100")
+@query("surf_memo", "SELECT doc_id, length(text) AS n, substr(text, 11, 20) AS part, text || '!' AS assigned FROM documents")
 def surf_memo(spark, sf_dir):
     """Length, part and assignment of a memo."""
-    return _memo_parts(table(spark, sf_dir, "documents").filter("doc_id < 100"))
-
-
-@query("surf_memo_all", "SELECT doc_id, length(text) AS n, substr(text, 11, 20) AS part, text || '!' AS assigned FROM documents")
-def surf_memo_all(spark, sf_dir):
-    """The same of all memos."""
-    return _memo_parts(table(spark, sf_dir, "documents"))
-
-
-def _memo_parts(t):
-    t = dml.update(t, None, {"source": "source"})
+    t = dml.update(table(spark, sf_dir, "documents"), None, {"source": "source"})
     return t.df.select("doc_id", F.length("text").cast("long").alias("n"), F.substring("text", 11, 20).alias("part"), F.concat("text", F.lit("!")).alias("assigned"))

@@ -124,20 +124,10 @@ def src_seq(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("src_memo", "SELECT doc_id, text FROM documents WHERE doc_id % 50 = 0")
+@query("src_memo", "SELECT doc_id, text FROM documents")
 def src_memo(spark, sf_dir):
-    """Memos of chosen records."""
-    return _memos(spark, sf_dir, "doc_id % 50 = 0")
-
-
-@query("src_memo_all", "SELECT doc_id, text FROM documents")
-def src_memo_all(spark, sf_dir):
     """Memos of all records."""
-    return _memos(spark, sf_dir)
-
-
-def _memos(spark, sf_dir, chosen="true"):
-    return table(spark, sf_dir, "documents").df.filter(chosen).select("doc_id", "text")
+    return table(spark, sf_dir, "documents").df.select("doc_id", "text")
 
 
 # Seeks.
@@ -430,14 +420,8 @@ def sort_do(spark, sf_dir):
     return r.sequenced("seq", [F.col("orders__o_orderkey").alias("o_orderkey")])
 
 
-@query("sort_api", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")
+@query("sort_api", "SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place FROM lineitem")
 def sort_api(spark, sf_dir):
-    """A stand-alone sort with payload, of which the first hundred are taken."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(100)
-
-
-@query("sort_api_all", "SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place FROM lineitem")
-def sort_api_all(spark, sf_dir):
     """A stand-alone sort of all rows with their payload, each with its place."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return numbered(rows, [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], "place")

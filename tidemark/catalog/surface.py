@@ -50,20 +50,10 @@ def src_readbuf(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 0).alias("total"))
 
 
-@query("src_memo_net", "SELECT doc_id, text, strlen(text)::BIGINT AS n_bytes, 'M' AS kind FROM documents WHERE doc_id % 40 = 1")
+@query("src_memo_net", "SELECT doc_id, text, strlen(text)::BIGINT AS n_bytes, 'M' AS kind FROM documents")
 def src_memo_net(spark, sf_dir):
     """Memos as text, with their length in bytes and their type."""
-    return _memo_values(spark, sf_dir, "doc_id % 40 = 1")
-
-
-@query("src_memo_net_all", "SELECT doc_id, text, strlen(text)::BIGINT AS n_bytes, 'M' AS kind FROM documents")
-def src_memo_net_all(spark, sf_dir):
-    """The same of all records."""
-    return _memo_values(spark, sf_dir)
-
-
-def _memo_values(spark, sf_dir, chosen="true"):
-    return table(spark, sf_dir, "documents").df.filter(chosen).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.lit("M").alias("kind"))
+    return table(spark, sf_dir, "documents").df.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.lit("M").alias("kind"))
 
 
 @query("src_index", "SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) AS place FROM part WHERE p_size > 10")
@@ -95,20 +85,10 @@ query("tag_reindex", REINDEXED)(_reindexed)
 query("dml_reindex", REINDEXED)(_reindexed)
 
 
-@query("dml_memocompact", "SELECT doc_id, left(text, 5) AS head, length(text) AS n FROM documents WHERE doc_id < 50")
+@query("dml_memocompact", "SELECT doc_id, left(text, 5) AS head, length(text) AS n FROM documents")
 def dml_memocompact(spark, sf_dir):
     """Memos stored anew after a change take the room of their values alone, which stay the same."""
-    return _compacted(spark, table(spark, sf_dir, "documents").filter("doc_id < 50"))
-
-
-@query("dml_memocompact_all", "SELECT doc_id, left(text, 5) AS head, length(text) AS n FROM documents")
-def dml_memocompact_all(spark, sf_dir):
-    """The same of the whole table."""
-    return _compacted(spark, table(spark, sf_dir, "documents"))
-
-
-def _compacted(spark, docs):
-    files.write_table(dml.pack(docs), path := folder(spark))
+    files.write_table(dml.pack(table(spark, sf_dir, "documents")), path := folder(spark))
     return files.read_table(spark, path, "documents").df.select("doc_id", F.substring("text", 1, 5).alias("head"), F.length("text").cast("long").alias("n"))
 
 

@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import EngineError
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df computed once and written to spark.checkpoint.dir (a temporary folder where that is unset)."""
-    context = df.sparkSession.sparkContext
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, in local mode, a temporary folder that goes with the process."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        if not folder:
+            if not context.master.startswith("local"):
+                raise EngineError("no shared folder", "set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return folder or context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder, through the file system of its path; whether there was one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder; survives the loss of executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.table import DELETED, RECNO, Table
+from ..plans.storage import remove
 from ..types import FieldInfo, blank
 
 
@@ -42,14 +43,16 @@ def read_table(spark: SparkSession, path: str, name: str, **options) -> Table:
 
 
 def remove_table(spark: SparkSession, path: str) -> bool:
-    """Deletes a stored table, through the file system of its path; whether there was one."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    """Deletes a stored table; whether there was one."""
+    return remove(spark, path)
 
 
 def import_text(spark: SparkSession, path: str, fields: list[FieldInfo], name: str, **options) -> Table:
-    """A text file of fixed-width records as a table; a value that can't be read is the type's blank."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_line"))
+    """Text files of fixed-width records as a table; a value that can't be read is the type's blank.
+
+    Records are numbered by file, in the order of their paths, and by place in the file.
+    """
+    lines = spark.read.text(path).select("value", *_places())
     columns, at = [], 1
     for f in fields:
         raw = F.rtrim(F.substring("value", at, f.width))
@@ -57,18 +60,26 @@ def import_text(spark: SparkSession, path: str, fields: list[FieldInfo], name: s
         value = raw if f.kind == "str" else F.try_to_date(raw, "yyyyMMdd") if f.kind == "date" else raw.isin(*"TtYy") if f.kind == "log" else F.trim(raw).try_cast(kind)
         columns.append(F.coalesce(value.cast(kind), blank(f.kind, kind).cast(kind)).alias(f.name, metadata=f.metadata()))
         at += f.width
-    # Lines are numbered by partition and place, whose order is that of the files.
-    return Table.of(_numbered(lines.select(*columns, "_line")), name, **options)
+    return Table.of(_numbered(lines.select(*columns, "_file", "_split", "_line")), name, **options)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Record numbers in the order of _line: counts by partition, then places inside."""
-    from pyspark.sql import Window
+def _places() -> list[Column]:
+    """Of a line: its file, the beginning of its part of the file, and its place in the task."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line")]
 
-    rows = df.withColumn("_part", F.shiftright("_line", 33))
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(before, "_part").withColumn(RECNO, F.col("_before") + F.col("_line").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_before", "_line")
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Record numbers by file, part of the file and place: one row a part, with its first place and its size, goes to the driver.
+
+    A part of a file is read by one task in the order of its lines, whatever other parts the task reads.
+    """
+    parts = df.groupBy("_file", "_split").agg(F.min("_line").alias("_least"), F.count(F.lit(1)).alias("n")).collect()
+    before, total = [], 0
+    for r in sorted(parts, key=lambda r: (r["_file"], r["_split"])):
+        before.append((r["_file"], r["_split"], r["_least"], total))
+        total += r["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_file string, _split long, _least long, _before long"))
+    return df.join(offsets, ["_file", "_split"]).withColumn(RECNO, F.col("_before") + F.col("_line") - F.col("_least") + 1).drop("_file", "_split", "_line", "_least", "_before")
 
 
 def read_memo_files(spark: SparkSession, path: str) -> DataFrame:
