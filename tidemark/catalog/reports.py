@@ -102,7 +102,48 @@ def grp_break(spark, sf_dir):
     n = r.slave(table(spark, sf_dir, "nation").with_tag(Tag("key", "n_nationkey")), "c_nationkey", "key", action="skip")
     n.slave(table(spark, sf_dir, "region").with_tag(Tag("key", "r_regionkey")), "nation->n_regionkey", "key", action="skip")
     rows = r.composites().select(F.col("region__r_name").alias("r_name"), F.col("nation__n_name").alias("n_name"), F.col("customer__c_acctbal").alias("bal"))
-    return rows.rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("bal"), 2).alias("balance"))
+    groups = [Group("region", F.col("r_name")), Group("nation", F.col("n_name"))]
+    report = Report(rows, groups, [Total("n", "count"), Total("balance", "sum", F.col("bal"))], sorted_by_groups=True)
+    return report.levels().select(F.col("region").alias("r_name"), F.col("nation").alias("n_name"), "n", F.round("balance", 2).alias("balance"))
+
+
+NESTED = """e AS (SELECT *, user_id % 3 AS u, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events),
+l AS (SELECT *, lag(event_type) OVER (ORDER BY seq) AS t, lag(u) OVER (ORDER BY seq) AS v FROM e),
+r AS (SELECT *, sum(CASE WHEN seq = 1 OR event_type IS DISTINCT FROM t THEN 1 ELSE 0 END) OVER w AS outer_run,
+  sum(CASE WHEN seq = 1 OR event_type IS DISTINCT FROM t OR u IS DISTINCT FROM v THEN 1 ELSE 0 END) OVER w AS inner_run FROM l WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
+
+
+def nested(spark, sf_dir, totals):
+    return Report(events_in_order(spark, sf_dir), [kind(), Group("user", F.col("user_id") % 3)], totals)
+
+
+@query("grp_nested_running", f"""WITH {NESTED} SELECT event_id, outer_run::BIGINT AS outer_run, inner_run::BIGINT AS inner_run, round(sum(value) OVER o, 4) AS outer_total, count(*) OVER o AS outer_n,
+round(sum(value) OVER i, 4) AS inner_total, max(value) OVER i AS inner_most, min(value) OVER a AS least, round(sum(value) OVER a, 4) AS total FROM r
+WINDOW o AS (PARTITION BY outer_run ORDER BY seq ROWS UNBOUNDED PRECEDING), i AS (PARTITION BY inner_run ORDER BY seq ROWS UNBOUNDED PRECEDING), a AS (ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
+def grp_nested_running(spark, sf_dir):
+    """Totals so far of two levels of runs and of all rows."""
+    value = F.col("value")
+    totals = [Total("outer_total", "sum", value, "type"), Total("outer_n", "count", None, "type"), Total("inner_total", "sum", value, "user"), Total("inner_most", "max", value, "user"), Total("least", "min", value), Total("total", "sum", value)]
+    rows = nested(spark, sf_dir, totals).with_running()
+    return rows.select("event_id", F.col("run_type").alias("outer_run"), F.col("run_user").alias("inner_run"), F.round("outer_total", 4).alias("outer_total"), "outer_n", F.round("inner_total", 4).alias("inner_total"), "inner_most", "least", F.round("total", 4).alias("total"))
+
+
+@query("grp_nested_lookahead", f"""WITH {NESTED} SELECT event_id, round(sum(value) OVER (PARTITION BY outer_run), 4) AS outer_total, count(*) OVER (PARTITION BY inner_run) AS inner_n, max(value) OVER (PARTITION BY inner_run) AS inner_most, count(*) OVER () AS n FROM r""")
+def grp_nested_lookahead(spark, sf_dir):
+    """Totals of whole runs of two levels, known from their first row on."""
+    value = F.col("value")
+    rows = nested(spark, sf_dir, [Total("outer_total", "sum", value, "type"), Total("inner_n", "count", None, "user"), Total("inner_most", "max", value, "user"), Total("n", "count")]).with_lookahead()
+    return rows.select("event_id", F.round("outer_total", 4).alias("outer_total"), "inner_n", "inner_most", "n")
+
+
+@query("grp_nested_table", f"""WITH {NESTED}, s AS (SELECT *, sum(value) OVER (PARTITION BY outer_run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS so_far, count(*) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS rows_so_far FROM r)
+SELECT max(seq)::BIGINT AS seq, arg_max(event_type, seq) AS event_type, arg_max(u, seq) AS u, count(*) AS n, round(sum(value), 4) AS total, round(arg_max(so_far, seq), 4) AS so_far, arg_max(rows_so_far, seq) AS rows_so_far FROM s GROUP BY inner_run""")
+def grp_nested_table(spark, sf_dir):
+    """A row for each inner run, with totals of two outer levels so far."""
+    value = F.col("value")
+    totals = [Total("n", "count", None, "user"), Total("total", "sum", value, "user"), Total("so_far", "sum", value, "type"), Total("rows_so_far", "count")]
+    rows = nested(spark, sf_dir, totals).table("user", ["event_type", "user_id"])
+    return rows.select(F.col("_seq").alias("seq"), "event_type", (F.col("user_id") % 3).alias("u"), "n", F.round("total", 4).alias("total"), F.round("so_far", 4).alias("so_far"), "rows_so_far")
 
 
 @query("grp_firstchange", """WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events),
