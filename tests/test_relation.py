@@ -102,6 +102,17 @@ def test_approx_with_many_ranges(spark):
     assert numbers(r.composites(), "m", "s") == want
 
 
+def test_approx_with_a_hot_key(spark):
+    """Most masters have one key, some none, some are beyond the last; only distinct keys go through the window."""
+    keys = [5] * 3000 + [None] * 10 + [99] * 5 + list(range(40))
+    m = Table.of(spark.createDataFrame([(i + 1, k) for i, k in enumerate(keys)], "_recno long, k int"), "m")
+    s = Table.of(spark.range(20).selectExpr("id + 1 AS _recno", "id * 3 AS k"), "s").with_tag(Tag("k", "k"))
+    r = Relation(m)
+    r.slave(s, "k", "k", type="approx")
+    want = sorted((i + 1, next((n + 1 for n in range(20) if k is not None and n * 3 >= k), 0)) for i, k in enumerate(keys))
+    assert numbers(r.composites(), "m", "s") == want
+
+
 def test_filters_see_blanks(tables):
     m, a, _ = tables
     r = Relation(m)

@@ -28,6 +28,8 @@ from .table import DELETED, RECNO, Table
 
 EXACT, SCAN, APPROX = "exact", "scan", "approx"
 BLANK, SKIP, TERMINATE = "blank", "skip", "terminate"
+#: Ranges of keys of an approximate lookup at most, and records of a slave for each.
+RANGES, RANGE_KEYS = 4096, 2_000_000
 
 
 @dataclass
@@ -241,38 +243,44 @@ class Relation:
     def _approx(self, node: Node, rows: DataFrame, above: list[Node]) -> DataFrame:
         """The record of the key or of the next greater one; beyond the last key it is blank.
 
-        Keys are cut into ranges by quantiles of the slave keys.  Inside a range the next key comes from a window over
-        both sides; a range whose masters find none there takes the first key of the ranges behind, of which there is one
-        row a range.  So no window spans the whole order.
+        The next key is found once for each key of the masters, then joined to them by key, so that many masters of one
+        key are spread as in any join.  Keys are cut into ranges by quantiles of the slave keys, more of them where there are more keys.  Inside a range
+        the next key comes from a window over both sides' keys; a range whose masters find none there takes the first key of the ranges behind, of
+        which there is one row a range.  So no window spans the whole order.
         """
         masters, slaves, _ = self._sides(node, rows, above)
         if node.tag is None:
             return masters.join(slaves, F.col("_mk") == F.col("_sk"), "left").drop("_mk", "_sk")
-        slaves = self._first_of_key(node, slaves.filter("_sk IS NOT NULL"))
+        slaves = slaves.filter("_sk IS NOT NULL")
+        records, slaves = slaves.count(), self._first_of_key(node, slaves)
         columns = [c for c in slaves.columns if c != "_sk"]
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        keys = slaves.select("_sk")
-        # Bounds out of a sample of distinct hashes; they only balance the ranges.
-        sample = [r["_sk"] for r in keys.filter(F.col("_sk").isNotNull()).withColumn("h", F.xxhash64("_sk")).orderBy("h").limit(40 * parts).select("_sk").collect()]
-        cuts = sorted(sample)[39::40][:-1] if len(sample) > 40 else []
+        names_ = [c for c in masters.columns if c != "_mk"]
         kind = dict(slaves.dtypes)["_sk"]
-        bounds = F.array(*(F.lit(c).cast(kind) for c in cuts)) if cuts else None
-        place = lambda c: F.size(F.filter(bounds, lambda b: b < c)) if cuts else F.lit(0)
+        bounds = self._bounds(slaves.select("_sk"), records)
+        cuts = F.array(*(F.lit(c).cast(kind) for c in bounds)) if bounds else None
+        place = lambda c: F.size(F.filter(cuts, lambda b: b < c)) if bounds else F.lit(0)
         right = slaves.select(F.col("_sk").alias("_k"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")).withColumn("_range", place(F.col("_k")))
-        left = masters.withColumn("_range", place(F.col("_mk").cast(kind)))
+        left = masters.select(F.col("_mk").cast(kind).alias("_k")).filter("_k IS NOT NULL").distinct().withColumn("_range", place(F.col("_k")))
         firsts = right.groupBy("_range").agg(F.min_by("_row", "_k").alias("_next"))
         behind = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
         # the first key of the nearest range behind that has any: one row a range
-        ranges = rows.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_range")).join(firsts, "_range", "left")
+        ranges = rows.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("_range")).join(firsts, "_range", "left")
         ranges = ranges.select("_range", F.last("_next", ignorenulls=True).over(behind).alias("_later"))
-        names_ = [c for c in masters.columns if c != "_mk"]
-        a = left.select("_range", F.col("_mk").cast(kind).alias("_k"), F.lit(1).alias("_side"), F.struct(*(F.col(f"`{c}`") for c in names_)).alias("_master"), F.lit(None).cast(right.schema["_row"].dataType).alias("_row"))
-        b = right.select("_range", "_k", F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_master"].dataType).alias("_master"), "_row")
+        a = left.select("_range", "_k", F.lit(1).alias("_side"), F.lit(None).cast(right.schema["_row"].dataType).alias("_row"))
+        b = right.select("_range", "_k", F.lit(0).alias("_side"), "_row")
         # Going down the keys, the last slave seen at or before a master's place; slaves come first at equal keys.
         down = Window.partitionBy("_range").orderBy(F.col("_k").desc(), F.col("_side").asc()).rowsBetween(Window.unboundedPreceding, 0)
         met = a.unionByName(b).withColumn("_found", F.last("_row", ignorenulls=True).over(down)).filter("_side = 1")
-        met = met.join(ranges, "_range", "left").withColumn("_found", F.when(F.col("_k").isNull(), F.lit(None)).otherwise(F.coalesce("_found", "_later")))
-        return met.select(*(F.col(f"_master.`{c}`").alias(c) for c in names_), *(F.col(f"_found.`{c}`").alias(c) for c in columns))
+        met = met.join(F.broadcast(ranges), "_range", "left").select("_k", F.coalesce("_found", "_later").alias("_found"))
+        met = masters.withColumn("_mk", F.col("_mk").cast(kind)).join(met, F.col("_mk") == F.col("_k"), "left")
+        return met.select(*(F.col(f"`{c}`") for c in names_), *(F.col(f"_found.`{c}`").alias(c) for c in columns))
+
+    @staticmethod
+    def _bounds(keys: DataFrame, records: int) -> list:
+        """Bounds that cut distinct keys into ranges, out of a sample of least hashes; they only balance the ranges."""
+        parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(RANGES, records // RANGE_KEYS))
+        sample = sorted(r["_sk"] for r in keys.withColumn("h", F.xxhash64("_sk")).orderBy("h").limit(40 * parts).select("_sk").collect())
+        return sample[39::40][:-1] if len(sample) > 40 else []
 
     def _blank(self, rows: DataFrame, nodes: list[Node]) -> DataFrame:
         """Adds the columns of nodes as null."""

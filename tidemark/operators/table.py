@@ -404,16 +404,19 @@ class Table:
         return self.entries(tag.name).filter((key == F.lit(v)) & (F.col(RECNO) == recno))
 
     def seek_many(self, keys: DataFrame, column: str, name: str | None = None) -> DataFrame:
-        """Exact seeks of all keys of a DataFrame in one join: its rows with the fields of the first entry (null on a miss)."""
+        """Exact seeks of all keys of a DataFrame in one job: its rows with the fields of the first entry (null on a miss).
+
+        Only keys and record numbers are aggregated, of the wanted keys alone; the records found are fetched by number.
+        """
         tag = self._needed(name)
         key = self.key(tag)
-        column_ = F.rtrim(key.column) if key.is_text else key.column
-        firsts = self.entries(tag.name).withColumn("_key", column_)
-        pick = F.max_by if tag.descending else F.min_by
+        wanted = keys.withColumn("_key", F.rtrim(F.col(column)) if key.is_text else F.col(column))
+        entries = self.entries(tag.name).select((F.rtrim(key.column) if key.is_text else key.column).alias("_key"), F.col(RECNO).alias("_first"))
+        firsts = entries.join(wanted.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg((F.max if tag.descending else F.min)("_first").alias("_first"))
         names = [c for c in self.df.columns if c != DELETED]
-        firsts = firsts.groupBy("_key").agg(pick(F.struct(*names), RECNO).alias("_row"))
-        wanted = F.rtrim(F.col(column)) if key.is_text else F.col(column)
-        return keys.withColumn("_key", wanted).join(firsts, "_key", "left").select(*(keys[c] for c in keys.columns), *(F.col(f"_row.{c}").alias(c) for c in names if c not in keys.columns))
+        rows = self.df.select(*(F.col(f"`{c}`").alias(f"_f_{c}") for c in names))
+        found = wanted.join(firsts, "_key", "left").join(rows, F.col("_first") == F.col(f"_f_{RECNO}"), "left")
+        return found.select(*(F.col(f"`{c}`") for c in keys.columns), *(F.col(f"`_f_{c}`").alias(c) for c in names if c not in keys.columns))
 
 
 def replace_column(value: Typed, column: Column) -> Typed:
