@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dml
-from ..operators.table import DELETED, RECNO, Tag
+from ..operators.table import DELETED, RECNO, Table, Tag
 from ..plans.storage import new_folder
-from ..sources import files
+from ..sources import dbf, files
 from ..types import FieldInfo
 from .registry import query, table
 
@@ -150,6 +150,26 @@ def snk_copy(spark, sf_dir):
     return shown(files.read_table(spark, path, "nation"))
 
 
+@query("snk_dbf", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, o_orderdate::DATE AS o_date, o_custkey < 100 AS deleted, row_number() OVER (ORDER BY o_orderkey) AS recno FROM orders")
+def snk_dbf(spark, sf_dir):
+    """Orders written as DBF files, with deletion marks, and opened again."""
+    t = dml.delete(table(spark, sf_dir, "orders"), "o_custkey < 100")
+    fields = {"O_KEY": ("o_orderkey", FieldInfo("O_KEY", "I")), "O_STATUS": ("o_orderstatus", FieldInfo("O_STATUS", "C", 1)), "O_PRICE": ("o_totalprice", FieldInfo("O_PRICE", "B")), "O_PRIO": ("o_orderpriority", FieldInfo("O_PRIO", "C", 15)), "O_DATE": ("o_date", FieldInfo("O_DATE", "D"))}
+    rows = t.df.select(*(F.col(c).cast(f.spark_type()).alias(n, metadata=f.metadata()) for n, (c, f) in fields.items()), RECNO, DELETED)
+    dbf.write_dbf(Table(rows, "orders"), path := folder(spark))
+    back = dbf.open_dbf(spark, path, "orders").df
+    return back.select(*(F.col(n).cast("long").alias(c) if n == "O_KEY" else F.col(n).alias(c) for n, (c, _) in fields.items()), F.col(DELETED).alias("deleted"), F.col(RECNO).alias("recno"))
+
+
+@query("src_dbf_memo", "SELECT doc_id, text, octet_length(encode(text))::BIGINT AS n_bytes FROM documents")
+def src_dbf_memo(spark, sf_dir):
+    """Documents as a DBF table with a memo file beside it, and its memos read."""
+    docs = table(spark, sf_dir, "documents").df.select(F.col("doc_id").cast("int").alias("ID", metadata=FieldInfo("ID", "I").metadata()), F.col("text").alias("NOTE", metadata=FieldInfo("NOTE", "M").metadata()), RECNO, DELETED)
+    dbf.write_dbf(Table(docs, "documents"), path := folder(spark), encoding="utf-8")
+    back = dbf.open_dbf(spark, path, "documents", encoding="utf-8").df
+    return back.select(F.col("ID").cast("long").alias("doc_id"), F.col("NOTE").alias("text"), F.octet_length("NOTE").cast("long").alias("n_bytes"))
+
+
 @query("snk_compress", f"SELECT *, false AS deleted FROM ({NATIONS})")
 def snk_compress(spark, sf_dir):
     files.write_table(nation(spark, sf_dir), path := folder(spark), compression="gzip")

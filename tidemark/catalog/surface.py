@@ -10,7 +10,7 @@ from ..errors import EngineError
 from ..operators import dml
 from ..operators.relation import Relation
 from ..operators.table import RECNO, Tag
-from ..sources import files
+from ..sources import cdx, files
 from .changes import NATIONS, folder, nation, shown
 from .joins import OC, out
 from .registry import query, table
@@ -56,13 +56,12 @@ def src_memo_net(spark, sf_dir):
     return table(spark, sf_dir, "documents").df.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.lit("M").alias("kind"))
 
 
-@query("src_index", "SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) AS place FROM part WHERE p_size > 10")
+@query("src_index", "SELECT p_partkey, row_number() OVER (ORDER BY p_brand DESC, p_partkey DESC) AS place FROM part WHERE p_size > 10")
 def src_index(spark, sf_dir):
-    """Tags declared together, as an index file would hold them; one of them is walked."""
-    t = table(spark, sf_dir, "part")
-    for tag in (Tag("name", "p_name"), Tag("brand", "p_brand", filter="p_size > 10")):
-        t = t.with_tag(tag)
-    return t.sequenced("brand", "place").select("p_partkey", "place")
+    """Tags of an index file, written and opened again; one of them is walked."""
+    cdx.write_definitions(path := f"{folder(spark)}/part.cdx", [Tag("NAME", "p_name"), Tag("BRAND", "p_brand", "p_size > 10", descending=True)])
+    t = cdx.with_index(table(spark, sf_dir, "part"), path)
+    return t.sequenced("BRAND", "place").select("p_partkey", "place")
 
 
 @query("tag_remove", "SELECT 'cust' AS name")
