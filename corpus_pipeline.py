@@ -6,12 +6,10 @@ the next one's docs.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, mixing, quality, secrets, simhash
-from tidemark.llm.common import prepare, read, shared_dir, trainable
+from tidemark.llm.common import new_folder, prepare, read, remove, trainable
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each one's result is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to documents; each one's result is written to the shared folder and read again.
+
+    What a stage has read is removed when its own result is complete; the last result stays.
+    """
+    docs, folder = read(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
