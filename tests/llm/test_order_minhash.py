@@ -96,3 +96,32 @@ def test_edges(spark, odd, empty):
     assert M.edits(empty).count() == 0
     assert len(M.edits(odd.filter("doc_id = 4")).collect()) == 2
     assert M.fingerprints(odd).count() == odd.count()
+
+
+def test_ids_of_any_type(spark, documents):
+    from pyspark.sql import functions as F
+
+    rows = [("b", "text of b"), ("a", "text of a"), (None, "no id"), ("é", "text of é"), ("B", "of B"), ("𝄞", "clef"), ("\uffff", "last")]
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode()))
+    got = {r["name"]: r["edited_sha256"] for r in M.edits(spark.createDataFrame(rows, "name string, text string"), "name").collect()}
+    for i, (key, text) in enumerate(order):
+        assert got[key] == hashlib.sha256(M.edited(text, order[(i + 1) % len(order)][1]).encode()).hexdigest()
+    days = documents.limit(40).select(F.date_add(F.lit("2024-01-01"), F.col("doc_id").cast("int")).alias("day"), "text")
+    assert M.edits(days, "day").count() == 40
+
+
+def test_ranges_follow_the_bytes(spark, monkeypatch):
+    """Many ranges of about as many bytes, one a task; a repeated id is divided too."""
+    monkeypatch.setattr(M, "RANGE_BYTES", 4000)
+    rows = [(i, f"{i} " + "word " * (i % 30)) for i in range(900)] + [(450, f"{i:04} the same id many times over") for i in range(900)] + [(17, "x" * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = M.in_order(df, "doc_id", "text")
+    used = [(r, size) for r, size in placed.rdd.mapPartitions(lambda p: [_measure(p)]).collect() if r]
+    assert len(used) > 30 and all(len(r) == 1 for r, _ in used)
+    assert sorted(size for _, size in used)[-2] < 4 * 4000  # but for the one long text
+    check(rows, M.edits(df).collect())
+
+
+def _measure(rows):
+    rows = list(rows)
+    return sorted({r["range"] for r in rows}), sum(len(r["text"]) + 64 for r in rows)

@@ -132,36 +132,62 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: Bytes of text of a range of ids, the most ranges, rows of the sample a range, and leading characters of a text by which equal ids are told apart.
+RANGE_BYTES, RANGES, SAMPLE, HEAD = 32 << 20, 16_384, 64, 32
+
+
+def bounds(rows: DataFrame, least: int) -> list:
+    """Upper bounds (id, head) of all ranges but the last, so that each has about as many bytes; a sample a range comes to the driver."""
+    size = F.octet_length("text") + 64
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(size)).first()
+    ranges = min(RANGES, max(least, -(-(total or 0) // RANGE_BYTES)))
+    drawn = rows.select("id", "head", size.alias("size"))
+    if n > ranges * SAMPLE:
+        drawn = drawn.sample(min(1.0, 1.1 * ranges * SAMPLE / n), 5)
+    drawn = sorted(drawn.collect(), key=lambda r: (r["id"] is not None, *([r["id"]] if r["id"] is not None else []), r["head"].encode()))
+    step, reached, found = sum(r["size"] for r in drawn) / ranges, 0, []
+    for r in drawn:
+        reached += r["size"]
+        if reached >= step * (len(found) + 1) and len(found) < ranges - 1:
+            place = (r["id"], r["head"])
+            # a very long text or an often repeated id may reach several steps at once; their ranges are one
+            found += [place] * max(1, min(int(reached / step) - len(found), ranges - 1 - len(found)))
+    return [x for i, x in enumerate(found) if not i or x != found[i - 1]]
+
+
 def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (range, guest, id, text), partitioned by range and sorted; a range's last row is the guest that follows it.
 
-    Ranges of ids, whose bounds are quantiles, replace a window over all rows: only the first row of
-    each range also goes to the range before it (the first of all to the last range).  Ties of an id are ordered
-    by text; null ids come first.
+    Ranges of (id, text) of about as many bytes, one a task, replace a window over all rows: only the first row of
+    each range also goes to the range before it (the first of all to the last range).  Ids can be of any type that Spark sorts.  Ties of
+    an id are ordered by text; null ids come first.
     """
     spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    cuts = sorted(set(rows.select(F.col("id").cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.left(text, F.lit(HEAD)).alias("head"))
+    kind = dict(rows.dtypes)["id"]
+    cuts = bounds(rows, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     where = F.lit(0)
     if cuts:
-        # The number of bounds below the id, found in two steps so that many bounds cost little.
-        x, step = F.col("id").cast("double"), max(1, int(len(cuts) ** 0.5))
+        # The number of bounds below the row, found in two steps so that many bounds cost little. A null is less than all else.
+        place = lambda key, head: F.struct(F.lit(key).cast(kind).alias("id"), F.lit(head).alias("head"))
+        x, step = F.struct("id", "head"), max(1, int(len(cuts) ** 0.5))
         below = lambda some: F.size(F.filter(some, lambda y: y < x))
-        coarse = below(F.array(*map(F.lit, cuts[step - 1 :: step]))) * step
-        where = F.coalesce(coarse + below(F.slice(F.array(*map(F.lit, cuts)), coarse + 1, step)), F.lit(0))
+        coarse = below(F.array(*(place(*c) for c in cuts[step - 1 :: step]))) * step
+        where = coarse + below(F.slice(F.array(*(place(*c) for c in cuts)), coarse + 1, step))
     rows = rows.withColumn("range", where)
-    # The first row of every range, by (id, text): at most one small row a range comes to the driver.
-    firsts = {r["range"]: r["first"] for r in rows.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("first")).collect()}
+    # The first row of every range, by (id, head): at most one small row a range comes to the driver.
+    firsts = {r["range"]: r["first"] for r in rows.groupBy("range").agg(F.min(F.struct("id", "head")).alias("first")).collect()}
     order = sorted(firsts)
-    before = {firsts[r]["id"]: order[i - 1] for i, r in enumerate(order)}
-    if not before:
-        return rows.withColumn("guest", F.lit(False))
-    targets = spark.createDataFrame(list(before.items()), f"key {dict(rows.dtypes)['id']}, range int")  # a row a range
-    heads = rows.drop("range").join(F.broadcast(targets), F.col("id").eqNullSafe(F.col("key")))
-    # Among rows of one id the least text is the head; texts are compared in the aggregation, not collected.
+    if not order:
+        return rows.drop("head").withColumn("guest", F.lit(False))
+    targets = [(firsts[r]["id"], firsts[r]["head"], order[i - 1]) for i, r in enumerate(order)]
+    targets = spark.createDataFrame(targets, f"key {kind}, first string, range int")  # a row a range
+    heads = rows.drop("range").join(F.broadcast(targets), F.col("id").eqNullSafe(F.col("key")) & (F.col("head") == F.col("first")))
+    # Among rows of one id and head the least text is the first; texts are compared in the aggregation, not collected.
     heads = heads.groupBy("id", "range").agg(F.min("text").alias("text")).withColumn("guest", F.lit(True))
-    return rows.withColumn("guest", F.lit(False)).unionByName(heads).repartition(parts, "range").sortWithinPartitions("range", "guest", F.col("id").asc_nulls_first(), "text")
+    both = rows.drop("head").withColumn("guest", F.lit(False)).unionByName(heads)
+    return both.repartitionById(len(cuts) + 1, "range").sortWithinPartitions("range", "guest", F.col("id").asc_nulls_first(), "text")
 
 
 def edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
