@@ -11,7 +11,7 @@ from ..operators import dml
 from ..operators.relation import Relation
 from ..operators.table import RECNO, Tag
 from ..sources import cdx, files
-from .changes import NATIONS, folder, nation, shown
+from .changes import CUSTOMERS, customer, folder, shown
 from .joins import OC, out
 from .registry import query, table
 from .scans import by_customer, by_name, orders_out
@@ -64,10 +64,11 @@ def src_index(spark, sf_dir):
     return t.sequenced("BRAND", "place").select("p_partkey", "place")
 
 
-@query("tag_remove", "SELECT 'cust' AS name")
+@query("tag_remove", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place, 1 AS tags FROM orders")
 def tag_remove(spark, sf_dir):
-    t = by_customer(spark, sf_dir).with_tag(Tag("price", "o_totalprice")).without_tag("price")
-    return spark.createDataFrame([(n,) for n in t.tags], "name string")
+    """The order of the tag that is left when another one, which was selected, is removed."""
+    t = by_customer(spark, sf_dir).with_tag(Tag("price", "o_totalprice")).select_tag("price").without_tag("price")
+    return t.sequenced("cust", "place").select("o_orderkey", "place", F.lit(len(t.tags)).alias("tags"))
 
 
 REINDEXED = "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders WHERE o_totalprice > 1000"
@@ -95,7 +96,7 @@ def dml_memocompact(spark, sf_dir):
 def ddl_remove(spark, sf_dir):
     """A stored table before and after its removal."""
     parent = folder(spark)
-    files.write_table(nation(spark, sf_dir), f"{parent}/gone.parquet")
+    files.write_table(customer(spark, sf_dir), f"{parent}/gone.parquet")
     before = files.list_tables(spark, parent).count()
     files.remove_table(spark, f"{parent}/gone.parquet")
     return spark.createDataFrame([(before, files.list_tables(spark, parent).count())], "before int, after int")
@@ -153,50 +154,54 @@ def fn_totalref(spark, sf_dir):
     return t.df.select("l_returnflag", (F.round(x, 2) + 1).alias("x"))
 
 
-@query("txn_start", f"SELECT *, false AS deleted FROM ({NATIONS})")
+@query("txn_start", f"SELECT *, false AS deleted FROM ({CUSTOMERS})")
 def txn_start(spark, sf_dir):
     """Changes inside a transaction don't touch the table from which it began."""
-    t = dml.start(nation(spark, sf_dir))
-    dml.delete(t, "n_regionkey = 1")
+    t = dml.start(customer(spark, sf_dir))
+    dml.delete(t, "c_nationkey = 1")
     return shown(t)
 
 
-@query("buf_flush", f"SELECT *, n_regionkey = 2 AS deleted FROM ({NATIONS})")
+@query("buf_flush", f"SELECT *, c_nationkey = 2 AS deleted FROM ({CUSTOMERS})")
 def buf_flush(spark, sf_dir):
     """Changes written out and read again."""
-    files.write_table(dml.delete(nation(spark, sf_dir), "n_regionkey = 2"), path := folder(spark))
-    return shown(files.read_table(spark, path, "nation"))
+    files.write_table(dml.delete(customer(spark, sf_dir), "c_nationkey = 2"), path := folder(spark))
+    return shown(files.read_table(spark, path, "customer"))
 
 
-@query("buf_refresh", "SELECT 25::BIGINT AS before, 20::BIGINT AS after WHERE (SELECT count(*) FROM nation) = 25 UNION ALL SELECT (SELECT count(*) FROM nation), (SELECT count(*) FROM nation WHERE n_regionkey <> 1) WHERE (SELECT count(*) FROM nation) <> 25")
+@query("buf_refresh", "SELECT count(*) AS before, count(*) FILTER (WHERE c_nationkey <> 1) AS after FROM customer")
 def buf_refresh(spark, sf_dir):
     """A table overwritten by another writer, read before and after."""
     path = folder(spark)
-    files.write_table(nation(spark, sf_dir), path)
-    before = files.read_table(spark, path, "nation").record_count()
-    files.write_table(nation(spark, sf_dir).filter("n_regionkey <> 1"), path, mode="overwrite")
+    files.write_table(customer(spark, sf_dir), path)
+    before = files.read_table(spark, path, "customer").record_count()
+    files.write_table(customer(spark, sf_dir).filter("c_nationkey <> 1"), path, mode="overwrite")
     spark.catalog.refreshByPath(path)
-    return spark.createDataFrame([(before, files.read_table(spark, path, "nation").record_count())], "before long, after long")
+    return spark.createDataFrame([(before, files.read_table(spark, path, "customer").record_count())], "before long, after long")
 
 
-@query("surf_tagprop", "SELECT 'o_custkey' AS key, 'o_totalprice > 0' AS filter, false AS descending, 'machine' AS collation")
+@query("surf_tagprop", "SELECT 'o_custkey' AS key, 'o_totalprice > 0' AS filter, false AS descending, 'machine' AS collation, count(*) AS n, count(DISTINCT o_custkey) AS keys FROM orders WHERE o_totalprice > 0")
 def surf_tagprop(spark, sf_dir):
-    t = by_customer(spark, sf_dir, filter="o_totalprice > 0").tag()
-    return spark.createDataFrame([(t.key, t.filter, t.descending, t.collation)], "key string, filter string, descending boolean, collation string")
+    """A tag's definition, and how many entries and keys it has."""
+    t = by_customer(spark, sf_dir, filter="o_totalprice > 0")
+    tag = t.tag()
+    held = t.entries().agg(F.count(F.lit(1)).alias("n"), F.countDistinct(t.key(tag).column).alias("keys"))
+    return held.select(F.lit(tag.key).alias("key"), F.lit(tag.filter).alias("filter"), F.lit(tag.descending).alias("descending"), F.lit(tag.collation).alias("collation"), "n", "keys")
 
 
-@query("surf_tagnext", "SELECT * FROM (VALUES (1, 'cust', false), (2, 'price', true)) t(place, name, selected)")
+@query("surf_tagnext", "SELECT 1 AS place, 'cust' AS name, false AS selected, arg_min(o_orderkey, (o_custkey, o_orderkey)) AS first FROM orders UNION ALL SELECT 2, 'price', true, arg_min(o_orderkey, (o_totalprice, o_orderkey)) FROM orders")
 def surf_tagnext(spark, sf_dir):
-    """Tags one after another, and which is selected."""
+    """Tags one after another, which is selected, and the first record of each."""
     t = by_customer(spark, sf_dir).with_tag(Tag("price", "o_totalprice")).select_tag("price")
-    return spark.createDataFrame([(i, n, n == t.selected) for i, n in enumerate(t.tags, 1)], "place int, name string, selected boolean")
+    parts = [t.top(n).select(F.lit(i).alias("place"), F.lit(n).alias("name"), F.lit(n == t.selected).alias("selected"), F.col("o_orderkey").alias("first")) for i, n in enumerate(t.tags, 1)]
+    return parts[0].unionAll(parts[1])
 
 
-@query("surf_batchw", "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) AS recno FROM (SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100 + i::INT, 'NEW' FROM range(50) t(i))")
+@query("surf_batchw", "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS recno FROM (SELECT c_custkey, c_name FROM customer UNION ALL SELECT 1000000000 + i, 'NEW' FROM range(50) t(i))")
 def surf_batchw(spark, sf_dir):
     """Many records appended in one go."""
-    new = spark.range(50).selectExpr("CAST(100 + id AS int) AS n_nationkey", "'NEW' AS n_name", "0 AS n_regionkey")
-    return dml.append(nation(spark, sf_dir), new, ["n_nationkey"]).df.select("n_nationkey", "n_name", F.col(RECNO).alias("recno"))
+    new = spark.range(50).selectExpr("1000000000 + id AS c_custkey", "'NEW' AS c_name", "0 AS c_nationkey")
+    return dml.append(customer(spark, sf_dir), new, ["c_custkey"]).df.select("c_custkey", "c_name", F.col(RECNO).alias("recno"))
 
 
 @query("surf_status", "SELECT * FROM (VALUES ('exact', 'found'), ('between', 'after'), ('beyond', 'eof'), ('skip', 'eof'), ('back', 'bof'), ('absent', 'no record')) t(what, status)")
