@@ -148,6 +148,16 @@ def test_definitions_and_navigation(tables):
         r.slave(a, "k", "k")
 
 
+def test_a_relation_can_be_cancelled(tables):
+    m, a, _ = tables
+    r = Relation(m)
+    r.slave(a, "k", "k", type="scan", action="blank")
+    every, asked = [x[f"m__{RECNO}"] for x in r.rows()], []
+    assert [x[f"m__{RECNO}"] for x in r.rows(cancel=lambda n: asked.append(n) or n >= 4, every=2)] == every[:4]
+    assert asked == [0, 2, 4] and list(r.rows(cancel=lambda n: True)) == []
+    assert [x[f"m__{RECNO}"] for x in r.rows(cancel=lambda n: False)] == every
+
+
 def test_count_without_lookups(tables):
     m, a, _ = tables
     r = Relation(m)

@@ -234,3 +234,11 @@ def surf_err(spark, sf_dir):
 def surf_direct(spark, sf_dir):
     """Records fetched by their numbers, in one scan."""
     return orders_out(table(spark, sf_dir, "orders").df.filter(F.col(RECNO).isin(10, 100, 1000)))
+
+
+@query("surf_opt", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 0) AS total FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
+def surf_opt(spark, sf_dir):
+    """A table kept in memory for several uses."""
+    t = table(spark, sf_dir, "orders", widths=False).optimised()
+    t.record_count()
+    return t.filter("o_totalprice > 1000").df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 0).alias("total"))

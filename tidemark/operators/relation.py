@@ -462,9 +462,21 @@ class Relation:
             self._kept = None
         return self
 
-    def rows(self, prefetch: bool = True):
-        """Composites in order, one after another, a partition at a time."""
-        return self.ordered().toLocalIterator(prefetchPartitions=prefetch)
+    def rows(self, prefetch: bool = True, cancel: Callable[[int], bool] | None = None, every: int = 1000):
+        """Composites in order, one after another, a partition at a time.
+
+        cancel is asked before the first row and then every some rows, with the number of rows so far; if it says so, the relation ends
+        there, and partitions not yet begun are not computed.
+        """
+        found = self.ordered().toLocalIterator(prefetchPartitions=prefetch)
+        return found if cancel is None else self._until(found, cancel, every)
+
+    @staticmethod
+    def _until(found, cancel: Callable[[int], bool], every: int):
+        for n, row in enumerate(found):
+            if n % every == 0 and cancel(n):
+                return
+            yield row
 
     def optimizeable(self) -> bool:
         """Whether a part of the filter reaches a scan."""

@@ -155,6 +155,15 @@ class Table:
     def select(self, **expressions: str) -> DataFrame:
         return self.df.select(*(self.expr(e).alias(n) for n, e in expressions.items()))
 
+    def optimised(self) -> Table:
+        """The table with its records kept in the executors' memory, or on their disks, from the first use on."""
+        return replace(self, df=self.df.persist())
+
+    def released(self) -> Table:
+        """Gives up what optimised() kept; lost records are computed anew in any case."""
+        self.df.unpersist()
+        return self
+
     # Tags.
 
     def with_tag(self, tag: Tag) -> Table:
