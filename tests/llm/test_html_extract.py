@@ -116,7 +116,7 @@ def test_inline_boilerplate_leaves_its_block(inline):
 def test_classes_are_matched_as_a_whole():
     for mark in ("social-history", "advice", "reply-to-critics", "navigational", "no-banner"):
         assert H.main_text(f"<article><p>One.</p><p class='{mark}'>Two.</p><div id='{mark}'>Three.</div></article>") == "One.\nTwo.\nThree."
-    for mark in ("social", "post ad", "cookie_notice", "sidebar-right", "comments-list", "newsletter-signup-form"):
+    for mark in ("social", "post ad", "cookie_notice", "sidebar-right", "comments-list", "newsletter-signup-form", "sidebarRight", "relatedPosts", "ad-300x250", "SOCIAL", "user-comments", "privacy-notice"):
         assert H.main_text(f"<article><p>One.</p><p class='{mark}'>Two.</p><div id='{mark.split()[-1]}'>Three.</div></article>") == "One."
 
 

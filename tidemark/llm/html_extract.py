@@ -56,7 +56,10 @@ MARKS = frozenset(
     "notifications alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar aside menu menus navbar nav navigation breadcrumb breadcrumbs pagination pager footer masthead share "
     "sharing social related recommended comment comments disqus reply replies respond toolbar widget widgets skip".split()
 )
-PLAIN = frozenset("area bar block bottom box button buttons col column container content footer form global group head header holder icons inline inner item items left link links list main panel primary right secondary section site slot text title top unit wrap wrapper".split())
+PLAIN = frozenset(
+    "area article articles bar block body bottom box button buttons col column container content entry footer form global google group head header holder icons inline inner item items left link links list main "
+    "media more news panel policy post posts primary privacy right secondary section site slot stories story text this title tools top unit user wrap wrapper x".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STOP = frozenset(
     # English, French, German, Spanish: the most frequent function words.
@@ -72,7 +75,7 @@ _ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+"
 _REST = re.compile(rf"(?:[\s/]++|{_ATTRIBUTE})*+>")
 _ATTRIBUTES = re.compile(_ATTRIBUTE)
 _TELLING = re.compile(r"(?i)class|id|role|hidden|style")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NONE = re.compile(r"display\s*:\s*none")
 
 
@@ -103,12 +106,12 @@ def _marked(attributes: str) -> str:
         return ""
     soft = ""
     for name, value in _ATTRIBUTES.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _NONE.search(value):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NONE.search(value.lower()):
             return "hard"
         if name in ("class", "id"):
             for token in value.split():
-                words = _WORD.findall(token)
+                words = [w.lower() for w in _WORD.findall(token)]
                 if not MARKS.isdisjoint(words) and all(w in MARKS or w in PLAIN for w in words):
                     soft = "soft"
     return soft
