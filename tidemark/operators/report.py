@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 
 #: Rows of a block of consecutive rows.
-BLOCK = 50_000
+BLOCK = 16_384
 
 # What an empty maximum and minimum show.
 LEAST, MOST = -1.7e308, 1.7e308
