@@ -79,3 +79,29 @@ def test_sorted_groups_need_no_window(spark, rows):
     table = R.Report(df, [R.Group("outer", F.col("g"))], [R.Total("s", "sum", F.col("v"), "outer")], sorted_by_groups=True).table("outer", ["g"])
     assert "Window" not in table._jdf.queryExecution().executedPlan().toString()
     assert {r["g"]: r["s"] for r in table.collect()} == {g: sum(r[3] for r in rows if r[1] == g) for g in "ab"}
+
+
+def test_running_totals_of_keys(spark, monkeypatch):
+    """Runs that are keys, a null and a long one among them, over blocks of a few rows."""
+    monkeypatch.setattr(R.running_in_keys, "__defaults__", ("_seq", 16))
+    keys = [None] * 5 + ["a"] * 100 + ["b"] * 3 + ["c"]
+    rows = [(i, g, h, float(i % 7)) for i, (g, h) in enumerate(((g, j // 10) for g in [None, "a", "b", "c"] for j in range(keys.count(g))), 1)]
+    df = spark.createDataFrame(rows, "_seq long, g string, h int, v double")
+    groups = [R.Group("outer", F.col("g")), R.Group("inner", F.col("h"))]
+    totals = [R.Total("a", "sum", F.col("v"), "outer"), R.Total("b", "count", None, "inner"), R.Total("c", "max", F.col("v"), "inner"), R.Total("d", "average", F.col("v"))]
+    report = R.Report(df, groups, totals, sorted_by_groups=True)
+    got = report.with_running().orderBy("_seq").collect()
+    assert [(r["_seq"], r["a"], r["b"], r["c"], pytest.approx(r["d"])) for r in got] == [(s, a, b, c, d) for s, _, a, b, c, d in expected(rows)]
+    assert [(r["run_outer"], r["run_inner"]) for r in got] == [(g, h) for _, g, h, _ in rows]
+
+
+def test_totals_of_all_levels(spark, rows):
+    df = spark.createDataFrame([(i, g, h, v) for i, (_, g, h, v) in enumerate(sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or 0)), 1)], "_seq long, g string, h int, v double")
+    groups = [R.Group("outer", F.col("g")), R.Group("inner", F.col("h"))]
+    got = R.Report(df, groups, [R.Total("s", "sum", F.col("v")), R.Total("n", "count")], sorted_by_groups=True).levels().collect()
+    want = [(0, None, None)] + [(1, g, None) for g in "ab"] + [(2, g, h) for g in "ab" for h in (None, 1, 2)]
+    assert {(r["level"], r["outer"], r["inner"]): (r["s"], r["n"]) for r in got} == {
+        (k, g, h): (sum(r[3] for r in rows if (k < 1 or r[1] == g) and (k < 2 or r[2] == h)), sum((k < 1 or r[1] == g) and (k < 2 or r[2] == h) for r in rows)) for k, g, h in want
+    }
+    with pytest.raises(EngineError):
+        R.Report(df, groups, [R.Total("s", "sum", F.col("v"), "outer")], sorted_by_groups=True).levels()

@@ -102,6 +102,25 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]], begins: dict[s
     return rows.drop("_block", *starts, *(f"_{x}_{k}" for k in values for x in "vai"))
 
 
+def running_in_keys(df: DataFrame, values: dict[str, tuple[str, Column]], keys: list[Column], order: str = "_seq", block: int = BLOCK) -> DataFrame:
+    """Running sums, maxima or minima within keys that are runs: partial sums a key and block, and windows inside of these.
+
+    A key of many rows is spread over its blocks.
+    """
+    agg = {"sum": F.sum, "max": F.max, "min": F.min}
+    join = {"sum": lambda a, i: F.coalesce(a + i, a, i), "max": F.greatest, "min": F.least}
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.withColumns({"_block": F.floor((F.col(order) - 1) / block)} | dict(zip(names, keys, strict=True)) | {f"_v_{k}": v for k, (_, v) in values.items()})
+    parts = rows.groupBy(*names, "_block").agg(*(agg[f](f"_v_{k}").alias(f"_p_{k}") for k, (f, _) in values.items()))
+    ahead = Window.partitionBy(*names).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*(F.col(n).alias(f"{n}_") for n in (*names, "_block")), *(agg[f](f"_p_{k}").over(ahead).alias(f"_a_{k}") for k, (f, _) in values.items()))
+    inside = Window.partitionBy(*names, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_i_{k}": agg[f](f"_v_{k}").over(inside) for k, (f, _) in values.items()})
+    rows = rows.join(parts, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in (*names, "_block")])
+    rows = rows.withColumns({k: join[f](F.col(f"_a_{k}"), F.col(f"_i_{k}")) for k, (f, _) in values.items()})
+    return rows.drop("_block", "_block_", *names, *(f"{n}_" for n in names), *(f"_{x}_{k}" for k in values for x in "vai"))
+
+
 def replace(report: Report, running_totals: list[Total]) -> Report:
     """The report with some of its totals, and the others that count changes (for their marks)."""
     others = [t for t in report.totals if t not in running_totals and t.condition is not None and t.on == "change"]
@@ -199,7 +218,8 @@ class Report:
 
     def with_running(self) -> DataFrame:
         """Rows with each total's value so far in its run."""
-        values, begins = {} if self._by_key else self._numbers(), {}
+        values: dict[str, tuple[str, Column]] = {}
+        level_of: dict[str, int] = {}
         for t in self.totals:
             x, own = self._value(t), {}
             if t.kind in ("max", "min"):
@@ -210,15 +230,18 @@ class Report:
                 n = x.isNotNull() if t.kind == "average" or t.condition is not None else F.lit(True)
                 own[f"_n_{t.name}"] = ("sum", n.cast("long"))
             values |= own
-            if level := self._level(t.reset):
-                begins |= dict.fromkeys(own, self._begins(level))
-        rows = running(self._marked(), values, begins, self.order)
+            level_of |= dict.fromkeys(own, self._level(t.reset))
+        if self._by_key:
+            rows = self.broken()
+            for level in sorted(set(level_of.values())):
+                rows = running_in_keys(rows, {k: v for k, v in values.items() if level_of[k] == level}, [g.expression for g in self.groups[:level]], self.order)
+        else:
+            rows = running(self._marked(), self._numbers() | values, {k: self._begins(level) for k, level in level_of.items() if level}, self.order)
         for t in self.totals:
             s, n = F.col(f"_t_{t.name}"), F.col(f"_n_{t.name}")
             shown = {"sum": lambda: F.coalesce(s, F.lit(0)), "count": lambda: n, "average": lambda: F.when(n > 0, s / n).otherwise(0.0), "max": lambda: F.coalesce(s, F.lit(LEAST)), "min": lambda: F.coalesce(s, F.lit(MOST))}[t.kind]()  # noqa: B023
             rows = rows.withColumn(t.name, shown)
-        rows = rows.drop(*(k for k in values if k.startswith(("_t_", "_n_"))))
-        return rows.withColumns({f"run_{g.name}": g.expression for g in self.groups}).drop("first_change") if self._by_key else rows
+        return rows.drop(*values)
 
     def with_lookahead(self) -> DataFrame:
         """Rows with each total's value of the whole run, known from its first row on."""
