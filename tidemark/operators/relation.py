@@ -28,8 +28,8 @@ from .table import DELETED, RECNO, Table
 
 EXACT, SCAN, APPROX = "exact", "scan", "approx"
 BLANK, SKIP, TERMINATE = "blank", "skip", "terminate"
-#: Ranges of keys of an approximate lookup at most, and records of a slave for each.
-RANGES, RANGE_KEYS = 4096, 2_000_000
+#: Ranges of keys of an approximate lookup at most, and bytes of a slave for each, as the optimizer estimates them.
+RANGES, RANGE_BYTES = 4096, 128 << 20
 
 
 @dataclass
@@ -252,11 +252,12 @@ class Relation:
         if node.tag is None:
             return masters.join(slaves, F.col("_mk") == F.col("_sk"), "left").drop("_mk", "_sk")
         slaves = slaves.filter("_sk IS NOT NULL")
-        records, slaves = slaves.count(), self._first_of_key(node, slaves)
+        size = int(str(slaves._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        slaves = self._first_of_key(node, slaves)
         columns = [c for c in slaves.columns if c != "_sk"]
         names_ = [c for c in masters.columns if c != "_mk"]
         kind = dict(slaves.dtypes)["_sk"]
-        bounds = self._bounds(slaves.select("_sk"), records)
+        bounds = self._bounds(slaves.select("_sk"), size)
         cuts = F.array(*(F.lit(c).cast(kind) for c in bounds)) if bounds else None
         place = lambda c: F.size(F.filter(cuts, lambda b: b < c)) if bounds else F.lit(0)
         right = slaves.select(F.col("_sk").alias("_k"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")).withColumn("_range", place(F.col("_k")))
@@ -276,9 +277,9 @@ class Relation:
         return met.select(*(F.col(f"`{c}`") for c in names_), *(F.col(f"_found.`{c}`").alias(c) for c in columns))
 
     @staticmethod
-    def _bounds(keys: DataFrame, records: int) -> list:
+    def _bounds(keys: DataFrame, size: int) -> list:
         """Bounds that cut distinct keys into ranges, out of a sample of least hashes; they only balance the ranges."""
-        parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(RANGES, records // RANGE_KEYS))
+        parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(RANGES, size // RANGE_BYTES))
         sample = sorted(r["_sk"] for r in keys.withColumn("h", F.xxhash64("_sk")).orderBy("h").limit(40 * parts).select("_sk").collect())
         return sample[39::40][:-1] if len(sample) > 40 else []
 
