@@ -193,6 +193,4 @@ def snk_memofile(spark, sf_dir):
 
 def _through_files(spark, docs):
     files.write_memo_files(docs, path := folder(spark), "doc_id", "text")
-    back = files.read_memo_files(spark, f"{path}/name=*/*.txt")
-    text = F.decode("content", "UTF-8")  # a text file ends with a line feed of its own
-    return back.select(F.regexp_extract("path", r"name=(\d+)", 1).cast("long").alias("doc_id"), (F.length(text) - 1).cast("long").alias("n"))
+    return files.open_memo_files(spark, path).select("doc_id", F.length("text").cast("long").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.table import DELETED, RECNO, Table
 from ..plans.storage import remove
 from ..types import FieldInfo, blank
+from .memos import MemoFileSource
 
 
 def list_tables(spark: SparkSession, path: str) -> DataFrame:
@@ -83,10 +84,21 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def read_memo_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as memos: path, content, length."""
+    """Any whole files as memos: path, content, length. The driver lists them; open_memo_files needs no listing."""
     return spark.read.format("binaryFile").load(path).select("path", "content", "length")
 
 
 def write_memo_files(df: DataFrame, path: str, name: str, memo: str) -> None:
-    """One text file for each value of a name column, holding the memo: partitioned text output."""
-    df.select(F.col(name).cast("string").alias("name"), F.col(memo).cast("string").alias("value")).write.partitionBy("name").text(path)
+    """A file for each row, named by one column and holding another (binary, or as text) byte for byte; rows whose memo is null have none.
+
+    The files are added to those that the folder holds. All of the rows are found again by open_memo_files.
+    """
+    df.sparkSession.dataSource.register(MemoFileSource)
+    held = F.col(memo) if dict(df.dtypes)[memo] == "binary" else F.col(memo).cast("string").alias(memo)
+    df.select(F.col(name), held).write.format("memo_files").mode("append").save(path)
+
+
+def open_memo_files(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that write_memo_files stored: their names, and their memos read from the files."""
+    spark.dataSource.register(MemoFileSource)
+    return spark.read.format("memo_files").load(path)
