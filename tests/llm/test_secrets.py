@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import pytest
@@ -57,6 +58,30 @@ def test_automata_merge_states():
     assert automaton.score("ab-123456789012") > automaton.score("ab-1x3456789012") and automaton.score("ab-123456789012") > automaton.score("xy-123456789012")
 
 
+def test_a_model_holds_only_states_in_use(model):
+    """The tree of the examples has about 100,000 states, and each task gets its own copy of the model."""
+    for automaton in [*model.formats.values(), model.background]:
+        reached, pending = {0}, [0]
+        while pending:
+            new = set(automaton.to[pending.pop()].values()) - reached
+            reached |= new
+            pending += new
+        assert reached == set(range(len(automaton.to))) and len(automaton.logs) == len(automaton.counts) == len(automaton.to)
+    assert len(pickle.dumps(model)) < 1_000_000
+
+
+def test_dropped_states_change_no_score(monkeypatch):
+    made, fresh = S.made_examples(40), [w for words in S.made_examples(60).values() for w in words[40:]]
+    compact = {name: S.Automaton.infer(words) for name, words in made.items()}
+    monkeypatch.setattr(S.Automaton, "_compact", lambda self: None)
+    for name, words in made.items():
+        whole = S.Automaton.infer(words)
+        assert len(compact[name].to) < len(whole.to), name
+        for w in fresh:
+            starts = list(range(0, len(w), 3))
+            assert compact[name].score(w) == whole.score(w) and compact[name].suffixes(w, starts) == whole.suffixes(w, starts)
+
+
 def test_redaction():
     text = 'a token = "abcdef0123456789abcdef0123456789" b'
     spans = S.base_spans(text)

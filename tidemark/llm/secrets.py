@@ -104,6 +104,7 @@ class Automaton:
                 state = self.to[state][c]
             self.counts[state][END] += 1
         self._merge(alpha)
+        self._compact()
         self._freeze()
         return self
 
@@ -177,6 +178,18 @@ class Automaton:
             else:
                 red.append(state)
 
+    def _compact(self) -> None:
+        """Drops the states that merging has left without a way from the start: nearly all of the tree, and every task holds the rest."""
+        kept = [0]
+        new = {0: 0}
+        for s in kept:
+            for t in self.to[s].values():
+                if t not in new:
+                    new[t] = len(kept)
+                    kept.append(t)
+        self.counts = [self.counts[s] for s in kept]
+        self.to = [{c: new[t] for c, t in self.to[s].items()} for s in kept]
+
     def _freeze(self) -> None:
         """Log probabilities with the classes' frequencies and then all characters alike as back-off."""
         self.logs: list[dict[str, float]] = []
